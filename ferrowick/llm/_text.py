@@ -86,6 +86,14 @@ def window_hashes(data: np.ndarray, lower: bool = False):
     return lambda starts, ends: mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def code_hashes(codes: np.ndarray):
+    """As window_hashes, over an array of code points."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x51ED270B)) * _power(_BASE, len(codes)), out=sums[1:])
+    back = _power(_INVERSE, len(codes) + 1)
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
 def first_of_runs(x: np.ndarray) -> np.ndarray:
     """True where a sorted array has another value than before."""
     new = np.ones(len(x), bool)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrowick.llm import line_dedup, toxicity
+import corpus_pipeline
+from ferrowick.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +16,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_toxicity)}
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), decode_too=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op5_toxicity, op6_near_dedup, op8_bpe)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}
