@@ -37,3 +37,11 @@ def bounded(df: DataFrame, key: str, most: int, salt: int = 0) -> DataFrame:
     """df when it has at most ``most`` rows, else a hash sample of about 97 % of ``most``."""
     n = df.count()
     return df if n <= most else df.where(hash_share(key, 0.97 * most / n, salt))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
+    """(fw_id, fw_text, fw_label) of at most ``max_train`` labelled documents; of several labels of an id the largest counts."""
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("fw_id")).agg(F.max(F.col(label_col).cast("int")).alias("fw_label"))
+    own = bounded(own, "fw_id", max_train)
+    # the side broadcast has at most max_train rows, whatever the corpus
+    return cut_lineage(docs.select(F.col(id_col).alias("fw_id"), F.col(text_col).alias("fw_text")).join(F.broadcast(own), "fw_id"))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ferrowick.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
+from ferrowick.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +38,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), decode_too=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op5_toxicity, op6_near_dedup, op8_bpe)} | {"pipeline": corpus_pipeline.run}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit_languages(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op5_toxicity, op6_near_dedup, op8_bpe, op10_language)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrowick.llm import _text as tx
-from ferrowick.llm._session import bounded, cut_lineage
+from ferrowick.llm._session import labelled
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -86,13 +86,6 @@ def swap_terms(text: str, step: int = 1, kinds: tuple[tuple[str, ...], ...] = ID
     return re.sub(r"\w+", lambda m: other.get(m[0].lower(), m[0]), text)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
-    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("fw_id")).agg(F.max(F.col(label_col).cast("int")).alias("fw_label"))
-    own = bounded(own, "fw_id", max_train)
-    # at most max_train rows, whatever the corpus
-    return cut_lineage(docs.select(F.col(id_col).alias("fw_id"), F.col(text_col).alias("fw_text")).join(F.broadcast(own), "fw_id"))
-
-
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, np.ndarray] = {c: np.zeros(1 << BITS, np.int32) for c in (0, 1)}
     for b in batches:
@@ -109,7 +102,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, max_features: int = 4096, min_count: int = 5, l2: float = 1e-3, counterfactual: float = 1.0, kinds: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> ToxicityModel:
     """Fit on at most ``max_train`` labelled documents. ``counterfactual`` weighs the penalty on changes of the score under a swap of group terms."""
-    sample = _labelled(docs, labels, id_col, text_col, label_col, max_train)
+    sample = labelled(docs, labels, id_col, text_col, label_col, max_train)
     sizes = dict(sample.groupBy("fw_label").count().collect())
     n0, n1 = sizes.get(0, 0), sum(n for c, n in sizes.items() if c > 0)
     if not n0 or not n1:
