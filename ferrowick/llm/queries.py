@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ferrowick.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, toxicity
+from ferrowick.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, toxicity, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -38,10 +42,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), decode_too=True)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.tracked_keys(pages))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit_languages(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op5_toxicity, op6_near_dedup, op8_bpe, op10_language)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_top_k, op5_toxicity, op6_near_dedup, op8_bpe, op9_url_filter, op10_language)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_top_k": vector_search.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
