@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ferrowick.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, toxicity, url_filter, vector_search
+from ferrowick.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, substring_dedup, toxicity, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), decode_too=True)
 
@@ -52,5 +56,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit_languages(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_top_k, op5_toxicity, op6_near_dedup, op8_bpe, op9_url_filter, op10_language)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_top_k, op5_toxicity, op6_near_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_language)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_top_k": vector_search.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
