@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 MAX_DOCS = 20
 
 
+def _evened(text: Column) -> Column:
+    """Lower case, runs of blanks as one; done for a whole text at once, since it leaves line ends alone."""
+    return F.lower(F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "))
+
+
 def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "), "^ | $", ""))
+    return F.trim(_evened(line))
 
 
 def _hash(line: Column) -> Column:
@@ -33,7 +38,8 @@ def _hash(line: Column) -> Column:
 
 def _lost(base: DataFrame, max_docs: int, keep_first: bool) -> DataFrame:
     """(fw_id, lost): the hashes that each document loses, from (fw_id, fw_text)."""
-    lines = base.where("fw_id is not null and fw_text is not null").select("fw_id", F.explode(F.array_distinct(F.transform(F.split("fw_text", "\n"), _hash))).alias("h")).where("h is not null").select("fw_id", "h.a", "h.b")
+    each = base.where("fw_id is not null and fw_text is not null").select("fw_id", F.explode(F.split(_evened(F.col("fw_text")), "\n")).alias("line")).select("fw_id", F.trim("line").alias("line")).where("line <> ''")
+    lines = each.select("fw_id", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
     frequent = lines.groupBy("a", "b").agg(F.count_distinct("fw_id").alias("n"), F.min("fw_id").alias("first")).where(F.col("n") > max_docs)
     found = lines.join(frequent.select("a", "b", "first"), ["a", "b"])
     if keep_first:
