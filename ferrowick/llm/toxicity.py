@@ -69,7 +69,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None =
     found = []
     for n in (None, *PREFIXES):
         pick = slice(None) if n is None else np.flatnonzero(ends - starts >= n)
-        h = hashes(starts[pick], ends[pick] if n is None else starts[pick] + n) ^ np.uint64(0 if n is None else 0xABCD * n)
+        h = hashes(starts[pick], ends[pick] if n is None else starts[pick] + n) ^ np.uint64(0 if n is None else 0x9E3779B97F4A7C15 * n & (1 << 64) - 1)
         bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
         at = rows[pick]
         if known is not None:
