@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-RATE, MIN_CHARS, SLICE_CHARS = 0.05, 30, 20_000_000
+RATE, MIN_CHARS, SLICE_CHARS = 0.07, 30, 20_000_000
 _automata: dict[int, "Matcher"] = {}
 
 
