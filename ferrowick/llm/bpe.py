@@ -208,15 +208,14 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: list[tuple[object, Codec]] = []
 
 
 def _codec(shared) -> Codec:
-    key = id(shared.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(*shared.value)
-    return _codecs[key]
+    """The codec of a broadcast vocabulary, made once by each Python worker; the value is held, so another cannot take its place in memory."""
+    if not _codecs or _codecs[0][0] is not shared.value:
+        _codecs[:] = [(shared.value, Codec(*shared.value))]
+    return _codecs[0][1]
 
 
 def _groups(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

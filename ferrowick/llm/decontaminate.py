@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 RATE, MIN_CHARS, SLICE_CHARS = 0.07, 30, 20_000_000
-_automata: dict[int, "Matcher"] = {}
+_automata: list[tuple[object, "Matcher"]] = []
 
 
 def normalised(text: str | None) -> str:
@@ -108,12 +108,10 @@ class Matcher:
 
 
 def _matcher(shared: Broadcast, rate: float) -> Matcher:
-    """The automaton of a broadcast list of items, built once by each Python worker."""
-    key = id(shared.value)
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = Matcher(shared.value, rate)
-    return _automata[key]
+    """The automaton of a broadcast list of items, built once by each Python worker; the list is held, so another cannot take its place in memory."""
+    if not _automata or _automata[0][0] is not shared.value:
+        _automata[:] = [(shared.value, Matcher(shared.value, rate))]
+    return _automata[0][1]
 
 
 def _slices(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str, min_chars: int, slice_chars: int) -> list[Broadcast]:
