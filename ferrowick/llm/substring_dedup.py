@@ -4,8 +4,8 @@ A passage of ``MIN_WORDS`` or more words (runs of bytes that aren't white space)
 is reported. Comparing all documents with all shards would cost their product, so shards are chosen by content:
 
 1. Winnowing: of every ``MIN_WORDS`` words in a row, the run of ``ANCHOR`` words of the least hash is an anchor. Two
-   documents that share MIN_WORDS words share an anchor within them. Each anchor stands for its window: MIN_WORDS
-   words to either side. Only hashes and positions are shuffled, once; anchors of a single document go.
+   documents that share MIN_WORDS words share an anchor within them. Each anchor stands for its window: all
+   runs of MIN_WORDS words that contain it. Only hashes and positions are shuffled, once; anchors of a single document go.
 2. A window found whole in several documents is repeated as it stands. The other windows of an anchor are
    gathered in the anchor's shard, a repeated window once.
 3. Each shard's windows form an FM-index: the Burrows-Wheeler transform of their words in a wavelet matrix of
@@ -77,7 +77,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             bounds = np.searchsorted(rows, np.arange(end - first + 1))
             row = rows[at]
-            a, z = np.maximum(at - MIN_WORDS, bounds[row]), np.minimum(at + ANCHOR + MIN_WORDS, bounds[row + 1])
+            a, z = np.maximum(at + ANCHOR - MIN_WORDS, bounds[row]), np.minimum(at + MIN_WORDS, bounds[row + 1])
             of, origin, pick = tx.code_hashes(word), offsets[row], pa.array(row + first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(of(at, at + ANCHOR).view(np.int64)), pa.array(of(a, z).view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array((starts[a] - origin).astype(np.int32)), pa.array((ends[z - 1] - origin).astype(np.int32)), pa.array((z - a).astype(np.int32))],
