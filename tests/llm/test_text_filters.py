@@ -96,7 +96,7 @@ def test_decontamination_is_all_pairs(spark):
     table = [(i, sentence(rng, 30)) for i in range(10)]
     for i in range(10, 40):
         item = items[i % 6][1]
-        table.append((i, sentence(rng, 8) + " " + edited(rng, item.upper(), i % 9) + "\n" + sentence(rng, 8)))
+        table.append((i, sentence(rng, 8) + " " + edited(rng, item.upper(), i % 14) + "\n" + sentence(rng, 8)))
     table += [(50, None), (51, ""), (52, "   "), (None, items[0][1]), (53, items[0][1]), (53, items[0][1]), (54, sentence(rng, 50_000) + " " + items[1][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = []
