@@ -80,12 +80,12 @@ def serve_stream(spark: SparkSession, requests: str, responses: str, checkpoint:
     """Request files that arrive in a folder are answered batch by batch with (q, results) JSON files; invalid requests with errors.
 
     Every batch is one search of its valid queries against the static index."""
-    schema = "q string, k int, mode string"
+    schema = "q string, k int, mode string, _corrupt_record string"
 
     def answer(batch: DataFrame, number: int) -> None:
         rows = batch.where("value <> ''").select(F.monotonically_increasing_id().cast("string").alias("qid"), "value", F.from_json("value", schema).alias("r")).persist()
         k, mode = F.coalesce("r.k", F.lit(default_k)), F.coalesce("r.mode", F.lit(MODES[0]))
-        good = rows.select("qid", F.coalesce("r.q", F.lit("")).alias("query"), k.alias("k"), mode.alias("mode"), (F.col("r").isNotNull() & k.between(1, MOST) & mode.isin(*MODES)).alias("valid"))
+        good = rows.select("qid", F.coalesce("r.q", F.lit("")).alias("query"), k.alias("k"), mode.alias("mode"), (F.col("r").isNotNull() & F.col("r._corrupt_record").isNull() & k.between(1, MOST) & mode.isin(*MODES)).alias("valid"))
         parts = []
         for m in MODES:
             queries = good.where(F.col("valid") & (F.col("mode") == m))
