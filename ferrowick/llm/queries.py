@@ -57,4 +57,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_top_k, op5_toxicity, op6_near_dedup, op7_substring_dedup, op8_bpe, op9_url_filter, op10_language)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_top_k": vector_search.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_top_k": vector_search.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

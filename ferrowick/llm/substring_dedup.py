@@ -299,3 +299,18 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     each_text = Window.partitionBy("id", "tag").orderBy("start", "end")
     apart = spans.withColumn("high", F.max("end").over(each_text.rowsBetween(Window.unboundedPreceding, -1))).withColumn("island", F.sum(F.when(F.col("start") <= F.col("high"), 0).otherwise(1)).over(each_text))
     return apart.groupBy("id", "tag", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(F.col("id").alias(id_col), "start", "end")
+
+
+_BLANKS = r" \t\n\r\x0B\x0C"
+#: DuckDB's form of repeated_passages over the table documents, by all runs of MIN_WORDS words.
+ORACLE_SQL = f"""
+WITH pieces AS (SELECT doc_id, regexp_extract_all(text, '[{_BLANKS}]*[^{_BLANKS}]+') AS ps FROM documents),
+each AS (SELECT doc_id, p, ps[p] AS piece, regexp_replace(ps[p], '^[{_BLANKS}]+', '') AS word FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS p FROM pieces)),
+placed AS (SELECT doc_id, p, word, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM each),
+runs AS (SELECT doc_id, e - strlen(word) AS a, lead(e, {MIN_WORDS - 1}) OVER w AS z,
+  md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)) AS run FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+held AS (SELECT doc_id, a, z FROM runs WHERE z IS NOT NULL AND run IN (SELECT run FROM runs WHERE z IS NOT NULL GROUP BY run HAVING count(DISTINCT doc_id) > 1)),
+cut AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM held),
+isle AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS i FROM cut)
+SELECT doc_id, min(a)::INT AS start, max(z)::INT AS "end" FROM isle GROUP BY doc_id, i
+"""

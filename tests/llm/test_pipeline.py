@@ -133,3 +133,17 @@ def test_queries_are_the_operators_over_whole_tables(spark):
     truth = {r.doc_id: r.lang for r in table.collect()}
     assert np.mean([truth[r.doc_id] == r.language for r in queries["op10_language"](spark, folder).collect()]) > 0.97
     assert queries["op1_quality"](spark, folder).count() == queries["op5_toxicity"](spark, folder).count() == len(texts)
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_top_k", "op7_substring_dedup", "op9_url_filter"])
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    expected = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in expected.description]
+    found = __spark_entry__.queries()[name](spark, folder)
+    assert sorted(found.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, expected.fetchall()))
