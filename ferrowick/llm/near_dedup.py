@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrowick.llm import _text as tx
@@ -125,18 +125,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, keeper_id) of every document that duplicates another and isn't its group's keeper."""
-    signed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(_sign, f"id {docs.schema[id_col].dataType.simpleString()}, sig binary")
-    same = Window.partitionBy(F.xxhash64("sig"), F.hash("sig"))
-    nodes = cut_lineage(signed.select("id", "sig", F.min("id").over(same).alias("node")))
-    single = nodes.where("id = node").select("id", "sig")
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(_sign, f"id {kind}, sig binary")
+    signed = cut_lineage(signed.select("id", "sig", F.xxhash64("sig").alias("a"), F.hash("sig").alias("b")))
+    # aggregated before the shuffle, so that a text copied any number of times is one row a task
+    nodes = cut_lineage(signed.groupBy("a", "b").agg(F.min("id").alias("node"), F.min("sig").alias("sig")))
     width = 4 * ROWS
-    bands = single.select("id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])).alias("bucket"))
-    edges = bands.select("id", F.min("id").over(Window.partitionBy("bucket")).alias("hub")).where("id <> hub").distinct()
-    sig = lambda name: single.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
-    judged = edges.select(F.col("hub").alias("u"), F.col("id").alias("v")).join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(threshold), edges.select(F.col("hub").alias("u"), F.col("id").alias("v")).schema)
-    labels = components(judged)
-    members = nodes.select("id", "node").distinct().join(labels.select(F.col("id").alias("node"), "label"), "node", "left")
-    return members.select(F.col("id").alias(id_col), F.coalesce("label", "node").alias("keeper_id")).where(F.col(id_col) != F.col("keeper_id")).distinct()
+    bands = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])).alias("bucket"))
+    hubs = bands.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = bands.join(hubs, "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    sig = lambda name: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
+    judged = edges.join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(threshold), f"u {kind}, v {kind}")
+    labels = nodes.select("a", "b", "node").join(components(judged).withColumnRenamed("id", "node"), "node", "left").select("a", "b", F.coalesce("label", "node").alias("keeper_id"))
+    return signed.select("id", "a", "b").join(labels, ["a", "b"]).where("id <> keeper_id").select(F.col("id").alias(id_col), "keeper_id").distinct()
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
