@@ -28,7 +28,8 @@ def corpus_stats(info: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, dl, tf); with ``terms`` of these terms only, dropped before the shuffle."""
     tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokenize(F.col(text_col)).alias("tokens"))
-    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    # for an inner explode the optimizer would ask for the array's size first, by tokenising every text a second time
+    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
