@@ -127,6 +127,11 @@ def spill_segments(per_doc: DataFrame, threshold: int) -> DataFrame:
     return per_doc.select("doc_id", "n").repartition(1).sortWithinPartitions("doc_id").mapInPandas(fold, "segment int, first_doc long, last_doc long, n_postings long")
 
 
+def term_weights(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of postings; stats: one row."""
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats.select("n")).select("term", "df", bm25.idf(F.col("n"), F.col("df")).alias("idf"))
+
+
 @dataclass
 class Index:
     """What a search needs. Held as plans until ``save`` writes them; ``load`` reads them back."""
@@ -137,10 +142,12 @@ class Index:
     docs: DataFrame | None = None
 
     def save(self, path: str, buckets: int = 64) -> None:
-        """Postings are clustered and sorted by term, so that a query's terms prune row groups."""
-        self.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lexicon.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+        """Postings are clustered and sorted by term, so that a query's terms prune row groups. The lexicon is counted from the postings written, not from the texts again."""
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        read = self.postings.sparkSession.read
+        weights = term_weights(read.parquet(f"{path}/postings"), read.parquet(f"{path}/stats"))
+        weights.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
@@ -157,8 +164,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
     """An index of docs; with ``terms`` of these terms only, for a batch of queries that is known."""
     rows = postings(docs, terms, id_col=id_col, text_col=text_col)
     stats = corpus_stats(doc_info(docs, id_col=id_col, text_col=text_col))
-    weights = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats.select("n")).select("term", "df", bm25.idf(F.col("n"), F.col("df")).alias("idf"))
-    return Index(rows, weights, stats, docs)
+    return Index(rows, term_weights(rows, stats), stats, docs)
 
 
 def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
