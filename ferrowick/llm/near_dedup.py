@@ -5,7 +5,9 @@ its least value. Empty bins are filled by optimal densification: each draws bins
 of universal hashes, the same for all documents, until it meets a filled one. Documents with equal
 signatures are one node. Nodes are bucketed by bands of the signature; each bucket gives the edges of a star, from
 its least id to the others, so a bucket of m gives m - 1 pairs. An edge stands if enough bins agree; the
-groups are the connected components, found by passing least labels with pointer jumping.
+groups are the connected components, found by passing least labels with pointer jumping. Buckets whose members, the
+hub aside, are then of several components are settled: each member in turn is the hub of those of other components, until any two
+members of a bucket are of one component or compared. So the groups are those of all pairs that share a bucket.
 
 Defined results: null, empty and blank texts have no shingles and are never duplicates; a text shorter
 than a shingle is one shingle; rows with a null id are in no group; rows that repeat an id are one document; an
@@ -28,6 +30,8 @@ BINS, WORDS = 128, 3
 #: Bins in a band, and bands: pairs of similarity 0.45 share a bucket in 98 % of cases.
 ROWS, BANDS = 3, 42
 THRESHOLD = 0.5
+#: Members of a bucket that one task holds on either side; larger buckets are settled block against block.
+BLOCK = 2048
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
@@ -108,6 +112,65 @@ def _agree(threshold: float):
     return run
 
 
+def joined(sig: np.ndarray, component: np.ndarray, side: np.ndarray, cut: float) -> tuple[list[int], list[int]]:
+    """Pairs of rows that agree in cut bins and join components. All pairs of rows that stay in different ones have been compared; with two sides, those across."""
+    component, across = component.copy(), len(np.unique(side)) > 1
+    one, two = [], []
+    for i in range(len(sig)):
+        rest = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        if across:
+            rest = rest[side[rest] != side[i]]
+        hits = rest[(sig[rest] == sig[i]).sum(1) >= cut]
+        if len(hits):
+            met, first = np.unique(component[hits], return_index=True)
+            one += [i] * len(met)
+            two += hits[first].tolist()
+            component[np.isin(component, met)] = component[i]
+    return one, two
+
+
+def _settle(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, low, high, side, component, label, sig), those of a cell (bucket, low, high) in a row."""
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            ends = _ends(held)
+            yield from _edges(held, ends[:-1], threshold)
+            held = held.slice(ends[-2] if len(ends) > 1 else 0)  # the last cell may go on
+        if held is not None:
+            yield from _edges(held, _ends(held), threshold)
+
+    return run
+
+
+def _ends(table: pa.Table) -> list[int]:
+    cell = np.stack([table.column(i).to_numpy() for i in range(3)])
+    return [*(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), *([table.num_rows] if table.num_rows else [])]
+
+
+def _edges(table: pa.Table, ends: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
+    for start, end in zip([0, *ends], ends):
+        part = table.slice(start, end - start).combine_chunks()
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, BINS)
+        one, two = joined(sig, part.column("component").to_numpy(), part.column("side").to_numpy(), threshold * BINS)
+        if one:
+            label = part.column("label").combine_chunks()
+            label = label.chunk(0) if isinstance(label, pa.ChunkedArray) else label
+            yield pa.RecordBatch.from_arrays([label.take(pa.array(one)), label.take(pa.array(two))], ["u", "v"])
+
+
+def settled(spokes: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): labels of components that members of one bucket join, from the buckets' members (bucket, node), their (node, label) and (node, sig)."""
+    members = spokes.join(labels, "node").select("bucket", "node", "label")
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    cells = members.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.join(nodes.select("node", "sig"), "node").select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", F.xxhash64("label").alias("component"), "label", "sig")
+    kind = labels.schema["label"].dataType.simpleString()
+    return cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_settle(threshold), f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of each vertex's connected component, from (u, v). Each round passes labels along the edges, then follows the label's own label."""
     both = cut_lineage(edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v").distinct())
@@ -133,10 +196,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     width = 4 * ROWS
     bands = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])).alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = bands.join(hubs, "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    spokes = cut_lineage(bands.join(hubs, "bucket").where("node <> u").select("bucket", "u", "node"))
+    edges = spokes.select("u", F.col("node").alias("v")).distinct()
     sig = lambda name: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
     judged = edges.join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(threshold), f"u {kind}, v {kind}")
-    labels = nodes.select("a", "b", "node").join(components(judged).withColumnRenamed("id", "node"), "node", "left").select("a", "b", F.coalesce("label", "node").alias("keeper_id"))
+    labels = cut_lineage(nodes.select("a", "b", "node").join(components(judged).withColumnRenamed("id", "node"), "node", "left").select("a", "b", "node", F.coalesce("label", "node").alias("label")))
+    further = components(settled(spokes.select("bucket", "node"), labels.select("node", "label"), nodes, threshold)).toDF("label", "further")
+    labels = labels.join(further, "label", "left").select("a", "b", F.coalesce("further", "label").alias("keeper_id"))
     return signed.select("id", "a", "b").join(labels, ["a", "b"]).where("id <> keeper_id").select(F.col("id").alias(id_col), "keeper_id").distinct()
 
 

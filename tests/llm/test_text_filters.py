@@ -158,6 +158,43 @@ def test_near_dedup_finds_the_groups(spark):
     assert rows(left, "doc_id") == sorted(((i,) for i, _ in table if i not in gone), key=repr)
 
 
+def star(rng, base, copies, changed):
+    """Texts that differ from base in as many words, no two of them next to each other, and so resemble each other less."""
+    out = []
+    for _ in range(copies):
+        words = list(base)
+        for at in rng.sample(range(0, len(words), 3), changed):
+            words[at] = sentence(rng, 1)
+        out.append(" ".join(words))
+    return out
+
+
+def groups_of_all_pairs(texts):
+    """Least member of each text's group, of all pairs that share a band and agree in enough bins."""
+    sig = near_dedup.signatures(pa.array(texts))[0]
+    bands = sig[:, : near_dedup.ROWS * near_dedup.BANDS].reshape(len(texts), near_dedup.BANDS, near_dedup.ROWS)
+    label = np.arange(len(texts))
+    for i in range(len(texts)):
+        near = ((sig == sig[i]).sum(1) >= near_dedup.THRESHOLD * near_dedup.BINS) & (bands == bands[i]).all(2).any(1)
+        met = np.unique(label[near])
+        label[np.isin(label, met)] = met[0]
+    return label.tolist()
+
+
+@pytest.mark.parametrize("block", [None, 16])
+def test_near_dedup_of_copies_that_resemble_only_an_original_in_their_middle(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(6)
+    base = sentence(rng, 300).split()
+    copies = star(rng, base, 300, 20)
+    texts = copies[:150] + [" ".join(base)] + copies[150:]
+    expected = groups_of_all_pairs(texts)
+    assert len(set(expected)) < 4
+    found = {r.doc_id: r.keeper_id for r in near_dedup.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == expected
+
+
 def test_signatures_estimate_similarity_and_fill_every_bin():
     rng = random.Random(5)
     base = sentence(rng, 300).split()
