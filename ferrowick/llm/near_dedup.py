@@ -10,8 +10,9 @@ hub aside, are then of several components are settled: each member in turn is th
 members of a bucket are of one component or compared. So the groups are those of all pairs that share a bucket.
 
 Defined results: null, empty and blank texts have no shingles and are never duplicates; a text shorter
-than a shingle is one shingle; rows with a null id are in no group; rows that repeat an id are one document; an
-empty table gives an empty result. Of a group the lowest id is the keeper. Further columns are ignored.
+than a shingle is one shingle; rows with a null id are in no group; rows that repeat an id are one document if their
+signatures are equal, else each is grouped by its own text; an empty table gives an empty result. Of a group the lowest id is the
+keeper; of its rows the stage keeps one. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, some = signatures(b.column(1))
         pick = np.flatnonzero(some)
         packed = pa.Array.from_buffers(pa.binary(BINS * 4), len(pick), [None, pa.py_buffer(np.ascontiguousarray(sig[pick]))]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick)), packed], ["id", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick)), b.column(2).take(pa.array(pick)), packed], ["id", "text_hash", "sig"])
 
 
 def _agree(threshold: float):
@@ -186,13 +187,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, keeper_id) of every document that duplicates another and isn't its group's keeper."""
+def _text_hash(text_col: str):
+    return F.xxhash64(F.col(text_col))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, text_hash, node, keeper) of every row that has shingles; node and keeper are (id, a), the least id of a signature and the signature's hash."""
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(_sign, f"id {kind}, sig binary")
-    signed = cut_lineage(signed.select("id", "sig", F.xxhash64("sig").alias("a"), F.hash("sig").alias("b")))
+    signed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, _text_hash(text_col).alias("text_hash")).mapInArrow(_sign, f"id {kind}, text_hash long, sig binary")
+    signed = cut_lineage(signed.select("id", "text_hash", "sig", F.xxhash64("sig").alias("a"), F.hash("sig").alias("b")))
     # aggregated before the shuffle, so that a text copied any number of times is one row a task
-    nodes = cut_lineage(signed.groupBy("a", "b").agg(F.min("id").alias("node"), F.min("sig").alias("sig")))
+    nodes = signed.groupBy("a", "b").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
+    nodes = cut_lineage(nodes.select("a", "b", F.struct("id", "a").alias("node"), "sig"))
+    kind = nodes.schema["node"].dataType.simpleString()
     width = 4 * ROWS
     bands = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])).alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -202,10 +209,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     judged = edges.join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(threshold), f"u {kind}, v {kind}")
     labels = cut_lineage(nodes.select("a", "b", "node").join(components(judged).withColumnRenamed("id", "node"), "node", "left").select("a", "b", "node", F.coalesce("label", "node").alias("label")))
     further = components(settled(spokes.select("bucket", "node"), labels.select("node", "label"), nodes, threshold)).toDF("label", "further")
-    labels = labels.join(further, "label", "left").select("a", "b", F.coalesce("further", "label").alias("keeper_id"))
-    return signed.select("id", "a", "b").join(labels, ["a", "b"]).where("id <> keeper_id").select(F.col("id").alias(id_col), "keeper_id").distinct()
+    labels = labels.join(further, "label", "left").select("a", "b", "node", F.coalesce("further", "label").alias("keeper"))
+    return signed.select("id", "text_hash", "a", "b").join(labels, ["a", "b"]).select("id", "text_hash", "node", "keeper")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, keeper_id) of every document that duplicates another and isn't its group's keeper."""
+    found = grouped(docs, id_col, text_col, threshold).where("id <> keeper.id")
+    return found.select(F.col("id").alias(id_col), F.col("keeper.id").alias("keeper_id")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that near_duplicates names: one document of each group stays."""
-    return docs.join(near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold).select(id_col), id_col, "left_anti")
+    """docs with one row of each group; rows are told apart by id and text."""
+    key = [id_col, "near_dedup_text_hash"]
+    found = cut_lineage(grouped(docs, id_col, text_col, threshold).groupBy("id", "text_hash").agg(F.first("node").alias("node"), F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")))
+    kept = found.where("node = keeper and id = keeper.id").groupBy("keeper").agg(F.min("text_hash").alias("text_hash"))
+    kept = kept.select(F.col("keeper.id").alias("id"), "text_hash")
+    gone = found.select("id", "text_hash").join(kept, ["id", "text_hash"], "left_anti").toDF(*key)
+    keyed = docs.withColumn(key[1], _text_hash(text_col))
+    left = keyed.join(gone, key, "left_anti")
+    twice = cut_lineage(found.where("n > 1").join(kept, ["id", "text_hash"], "left_semi").select("id", "text_hash").toDF(*key))
+    if not twice.isEmpty():
+        left = left.join(twice, key, "left_anti").unionByName(left.join(twice, key, "left_semi").dropDuplicates(key))
+    return left.drop(key[1]).select(docs.columns)

@@ -195,6 +195,15 @@ def test_near_dedup_of_copies_that_resemble_only_an_original_in_their_middle(spa
     assert [found.get(i, i) for i in range(len(texts))] == expected
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    rng = random.Random(7)
+    a, x, p, y, z = (sentence(rng, 100) for _ in range(5))
+    table = [(3, a), (7, a), (7, x), (8, x + " end"), (30, p), (31, p + " end"), (31, y), (32, y + " end"), (40, z), (40, z), (41, None), (41, None), (None, z)]
+    assert rows(near_dedup.near_duplicates(docs(spark, table))) == sorted([(7, 3), (8, 7), (31, 30), (32, 31)], key=repr)
+    left = rows(near_dedup.without_near_duplicates(docs(spark, table, extra=True)), "doc_id", "text")
+    assert left == sorted([(3, a), (7, x), (30, p), (31, y), (40, z), (41, None), (41, None), (None, z)], key=repr)
+
+
 def test_signatures_estimate_similarity_and_fill_every_bin():
     rng = random.Random(5)
     base = sentence(rng, 300).split()
