@@ -46,12 +46,15 @@ def literal_queries(spark: SparkSession, *queries: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, doc_id, rel): documents that hold a benchmark text. Found by the tokens two to six of the text, which any text that holds it has too, then compared whole."""
+    """(qid, doc_id, rel): documents that hold a benchmark text. Found by the tokens two to six of the text, which any text that holds it has too, then compared whole. The few texts of under seven tokens have no such key and are compared with every document."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     key = lambda tokens, i: F.array_join(F.slice(tokens, i, 5), " ")
-    keyed = items.select("*", tokenize(F.col("item")).alias("t")).where("size(t) >= 7").select("qid", "item", key(F.col("t"), F.lit(2)).alias("key"))
+    counted = items.select("*", tokenize(F.col("item")).alias("t"))
+    keyed = counted.where("size(t) >= 7").select("qid", "item", key(F.col("t"), F.lit(2)).alias("key"))
     runs = documents(spark, sf_dir).select("doc_id", "text", tokenize(F.col("text")).alias("t")).where("size(t) >= 7").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("t") - 4), lambda i: key(F.col("t"), i)))).alias("key"))
-    return runs.join(keyed, "key").where(F.contains("text", "item")).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
+    long = runs.join(keyed, "key").where(F.contains("text", "item")).select("qid", "doc_id")
+    short = documents(spark, sf_dir).join(F.broadcast(counted.where("size(t) < 7")), F.contains("text", "item")).select("qid", "doc_id")
+    return long.union(short).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
