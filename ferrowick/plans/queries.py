@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, and the SQL that gives the same rows.
 
 The collection is ``documents``; the queries are the first six tokens, without stop words, of each ``benchmark`` text; the
-judgements are the documents that hold that text."""
+judgements are the documents that hold that text. ``json_responses``, which has no SQL, asks for the whole texts."""
 
 from __future__ import annotations
 
@@ -41,6 +41,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(query_tokens(F.col("text")), 1, 6), " ").alias("query"))
 
 
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark_queries with all tokens of the texts."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(query_tokens(F.col("text")), " ").alias("query"))
+
+
 def literal_queries(spark: SparkSession, *queries: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(queries)), "qid long, query string")
 
@@ -323,7 +328,8 @@ def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(None)
 def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.responses(benchmark_queries(spark, sf_dir), _search(10, False, True)(spark, sf_dir))
+    queries = whole_queries(spark, sf_dir)
+    return sinks.responses(queries, se.search_documents(documents(spark, sf_dir), queries, se.SearchOptions(10, False, True)))
 
 
 _PROMPT = " ".join(INSTRUCTIONS).replace("'", "''")
