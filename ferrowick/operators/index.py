@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrowick.functions import bm25, codec
 from ferrowick.functions.text import tokenize
-from ferrowick.operators.ranges import running_before
+from ferrowick.operators.ranges import running, running_before
 
 POSTINGS_PER_BLOCK = 128
 BLOCK_RECORD_BYTES = 20
@@ -40,20 +40,24 @@ def merge_postings(parts: DataFrame) -> DataFrame:
     return parts.groupBy("term", "doc_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
 
 
-def posting_lists(rows: DataFrame) -> DataFrame:
-    """(term, df, postings): an array in the order of doc_id."""
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+def posting_lists(rows: DataFrame, per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
+    """(term, block, n, postings): arrays in the order of doc_id, of ``per_block`` postings at most, so that no term's list has to fit in a row."""
+    if per_block <= 0:
+        raise ValueError("per_block must be above 0")
+    placed = posting_deltas(rows).select("term", F.floor((F.col("pos") - 1) / per_block).cast("int").alias("block"), "doc_id", "tf")
+    return placed.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 def posting_deltas(rows: DataFrame) -> DataFrame:
     """(term, doc_id, tf, pos, delta): distance to the term's document before, the first one absolute; it goes on across blocks."""
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return rows.select("term", "doc_id", "tf", F.row_number().over(order).alias("pos"), (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0))).alias("delta"))
+    placed = running(rows.select("term", "doc_id", "tf"), ["doc_id"], group=["term"], sums={"pos": F.lit(1)}, before={"last": "doc_id"})
+    return placed.select("term", "doc_id", "tf", (F.col("pos") + 1).cast("int").alias("pos"), (F.col("doc_id") - F.coalesce("last", F.lit(0))).alias("delta"))
 
 
 def undelta(rows: DataFrame) -> DataFrame:
     """(term, doc_id, tf, pos) from (term, pos, delta, tf)."""
-    return rows.select("term", F.sum("delta").over(Window.partitionBy("term").orderBy("pos")).alias("doc_id"), "tf", "pos")
+    summed = running(rows.select("term", "pos", "delta", "tf"), ["pos"], group=["term"], sums={"before": F.col("delta")})
+    return summed.select("term", (F.col("before") + F.col("delta")).alias("doc_id"), "tf", "pos")
 
 
 def first_at_least(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -78,9 +82,9 @@ def block_offsets(block_rows: DataFrame) -> DataFrame:
 
 def lexicon(block_rows: DataFrame) -> DataFrame:
     """(term, term_id, df, start_position, bytes_size), numbered in the order of the terms' bytes."""
-    terms = block_rows.groupBy("term").agg(F.sum("n_postings").alias("df"), F.sum(F.col("doc_id_size") + F.col("freq_size")).alias("bytes_size")).withColumn("one_", F.lit(1))
-    placed = running_before(terms, "bytes_size", ["term"], "start_position")
-    return running_before(placed, "one_", ["term"], "term_id").select("term", F.col("term_id").cast("long"), "df", "start_position", "bytes_size")
+    terms = block_rows.groupBy("term").agg(F.sum("n_postings").alias("df"), F.sum(F.col("doc_id_size") + F.col("freq_size")).alias("bytes_size"))
+    placed = running(terms, ["term"], sums={"start_position": F.col("bytes_size"), "term_id": F.lit(1)})
+    return placed.select("term", F.col("term_id").cast("long"), "df", "start_position", "bytes_size")
 
 
 def line_positions(docs: DataFrame, *, id_col: str = "doc_id", line: Column | None = None) -> DataFrame:

@@ -139,9 +139,9 @@ def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.merge_postings(rows.union(rows))
 
 
-@registered(f"WITH {_POST} SELECT term, count(*) AS df, list(doc_id ORDER BY doc_id) AS doc_ids, list(tf ORDER BY doc_id) AS tfs FROM post GROUP BY term")
+@registered(f"WITH {_POST}, {_PLACED} SELECT term, ((pos - 1) // 128)::INT AS block, count(*) AS n, list(doc_id ORDER BY doc_id) AS doc_ids, list(tf ORDER BY doc_id) AS tfs FROM placed GROUP BY ALL")
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.posting_lists(ix.postings(documents(spark, sf_dir))).select("term", "df", F.col("postings.doc_id").alias("doc_ids"), F.col("postings.tf").alias("tfs"))
+    return ix.posting_lists(ix.postings(documents(spark, sf_dir))).select("term", "block", "n", F.col("postings.doc_id").alias("doc_ids"), F.col("postings.tf").alias("tfs"))
 
 
 @registered(f"WITH {_POST} SELECT term, df FROM lex")
