@@ -7,19 +7,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable. The cluster's spark.checkpoint.dir is taken as it is; only a local master without one gets a temporary folder."""
+_ends: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Make ``checkpoint()`` usable; this application's own folder. The cluster's spark.checkpoint.dir is taken as it is; only a local master without one gets a temporary folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        master = sc.master
-        if not (master.startswith("local") and not master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="ferrowick-")
-    sc.setCheckpointDir(folder)
-    delete_at_end(spark, sc.getCheckpointDir())  # this application's own folder below it
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            master = sc.master
+            if not (master.startswith("local") and not master.startswith("local-cluster")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ferrowick-")
+        sc.setCheckpointDir(folder)
+    own = sc.getCheckpointDir()
+    if own not in _ends:  # below the folder set, by a name of this application's
+        _ends.add(own)
+        delete_at_end(spark, own)
+    return own
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
