@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrowick.operators.lineage import cut_lineage, delete, shared_folder
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable. The cluster's spark.checkpoint.dir is taken as it is; only a local master without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        master = sc.master
-        if not (master.startswith("local") and not master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="ferrowick-")
-    sc.setCheckpointDir(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, where it survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["bounded", "cut_lineage", "delete", "hash_share", "labelled", "shared_folder"]
 
 
 def hash_share(key: str | Column, share: float, salt: int = 0) -> Column:
@@ -34,14 +16,18 @@ def hash_share(key: str | Column, share: float, salt: int = 0) -> Column:
 
 
 def bounded(df: DataFrame, key: str, most: int, salt: int = 0) -> DataFrame:
-    """df when it has at most ``most`` rows, else a hash sample of about 97 % of ``most``."""
+    """df when it has at most ``most`` rows, else a hash sample of about 97 % of ``most``, and never of more."""
     n = df.count()
-    return df if n <= most else df.where(hash_share(key, 0.97 * most / n, salt))
+    if n <= most:
+        return df
+    # the limit holds where chance takes more, and where many rows have one key
+    return df.where(hash_share(key, 0.97 * most / n, salt)).limit(most)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
-    """(fw_id, fw_text, fw_label) of at most ``max_train`` labelled documents; of several labels of an id the largest counts."""
+    """(fw_id, fw_text, fw_label) of at most ``max_train`` labelled documents, one row for each id: of several labels of an id the largest counts, of several texts the least."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("fw_id")).agg(F.max(F.col(label_col).cast("int")).alias("fw_label"))
     own = bounded(own, "fw_id", max_train)
     # the side broadcast has at most max_train rows, whatever the corpus
-    return cut_lineage(docs.select(F.col(id_col).alias("fw_id"), F.col(text_col).alias("fw_text")).join(F.broadcast(own), "fw_id"))
+    found = docs.select(F.col(id_col).alias("fw_id"), F.col(text_col).alias("fw_text")).join(F.broadcast(own), "fw_id")
+    return cut_lineage(found.groupBy("fw_id", "fw_label").agg(F.min("fw_text").alias("fw_text")).select("fw_id", "fw_text", "fw_label"))

@@ -6,9 +6,11 @@ approximate a Gaussian kernel. Each partition of the labelled sample sums z z' a
 sums, and the driver solves the D equations of ridge regression. Isotonic regression on labelled texts held out
 (pool adjacent violators) turns ridge scores into probabilities.
 
-Scoring is one pass without shuffle. The sample is bounded by ``max_train``; all else covers every document.
+Scoring is one pass without shuffle. The sample is bounded by ``max_train``, one row for each id; all else covers every document.
 
-Defined results: a null or empty text is scored by its statistics, all of them 0; without labels the
+Defined results: a null or empty text is scored by its statistics, all of them 0; a text of any length is described
+whole; equal scores have equal quality, and a quality equal to the threshold is kept; of several texts of a labelled id the least
+teaches, of several labels the largest; without labels the
 quality is null and every document is kept; with labels of one class it is that class everywhere; repeated rows are each
 scored; an empty table gives an empty result. Further columns are ignored: the result has the id, ``score``,
 ``quality`` and ``keep`` only.

@@ -1,13 +1,15 @@
 """Operator 5: toxicity, a counterfactual-regularised linear classifier.
 
 A document's features are its distinct words and word beginnings, hashed. The labelled sample is
-bounded (``max_train``); the features that tell its classes apart are counted in Spark and only
-they reach the driver, which fits a logistic model on four fifths of the sample and sets the
+bounded (``max_train``, one row for each id); its features are counted in Spark, and the model's size is a parameter as its
+sample's: of the features of at least ``min_count`` texts, those ``max_features`` reach the driver that tell the classes apart
+best (of equal ones the lower hash). It fits a logistic model on about four fifths of the sample, chosen by the ids' hash, and sets the
 threshold on the rest. For each labelled text that names a group of
 people, the same text with the terms swapped for others of their kind is added and the squared
 change of the score is penalised, so that a mention as such says nothing.
 
-Defined results: a null or empty text scores as the bias alone; rows with a null id are scored like
+Defined results: a null or empty text scores as the bias alone; a text of any length is scored whole, in pieces of
+whole texts of about a megabyte together; a score equal to the threshold is toxic; of several texts of a labelled id the least teaches, of several labels the largest; rows with a null id are scored like
 others; repeated rows are each scored; without labels, or with one class only, every score is 0.0 or the
 class's share and nothing is flagged unless every label is toxic; an empty table gives an empty result.
 Further columns are ignored; the result has the id, ``toxicity`` and ``is_toxic``, or for
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrowick.llm import _text as tx
-from ferrowick.llm._session import labelled
+from ferrowick.llm._session import hash_share, labelled
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -124,10 +126,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 cut = np.searchsorted(rows, np.arange(end - first + 1))
                 parts += [known[features[cut[r] : cut[r + 1]]].tolist() for r in range(end - first)]
             each = iter(parts)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([[next(each) for _ in v] for v in versions], pa.list_(pa.list_(pa.int32())))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([[next(each) for _ in v] for v in versions], pa.list_(pa.list_(pa.int32())))], ["y", "held", "x"])
 
-    rows = sample.select("fw_text", "fw_label").mapInArrow(rows_of, "y int, x array<array<int>>").toArrow()
-    return _fit(rows.column("y").to_numpy() > 0, rows.column("x").to_pylist(), np.array(names, np.int64), l2, counterfactual)
+    rows = sample.select("fw_text", "fw_label", hash_share("fw_id", 0.2, 7).alias("held")).mapInArrow(rows_of, "y int, held boolean, x array<array<int>>").toArrow()  # at most max_train rows
+    return _fit(rows.column("y").to_numpy() > 0, rows.column("held").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool), rows.column("x").to_pylist(), np.array(names, np.int64), l2, counterfactual)
 
 
 def _sparse(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +137,9 @@ def _sparse(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
 
 
-def _fit(y: np.ndarray, texts: list[list[list[int]]], names: np.ndarray, l2: float, counterfactual: float, steps: int = 300) -> ToxicityModel:
-    held = np.arange(len(y)) % 5 == 4
+def _fit(y: np.ndarray, held: np.ndarray, texts: list[list[list[int]]], names: np.ndarray, l2: float, counterfactual: float, steps: int = 300) -> ToxicityModel:
+    if not (~held).any():  # too few texts for a share aside
+        held = ~held
     y, texts, aside, y_aside = y[~held], [t for t, h in zip(texts, held, strict=True) if not h], [t[0] for t, h in zip(texts, held, strict=True) if h], y[held]
     d, n = len(names), len(y)
     rows, cols = _sparse([t[0] for t in texts])
