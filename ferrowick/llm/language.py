@@ -6,10 +6,11 @@ language, so that the AND of an n-gram's k masks is the set of all languages tha
 popcounts per language. A filter of fill f answers falsely at a rate f^k, so h hits of n stand for
 (h - n f^k) / (1 - f^k) true ones; the language of the most decides, ties by name.
 
-The profile is counted on at most ``max_train`` documents of each language, by Spark; the filters'
-size is set by the languages, not by the corpus. Scoring is one pass without shuffle.
+The profile is counted on at most about ``max_train`` documents of each language, by Spark. The model's size is a parameter as
+its sample's: of the n-grams that occur ``min_count`` times in the sample, each language's ``per_language`` most frequent (of equally
+frequent ones the lower hash) are entered, so the filters' size is set by the languages, not by the corpus. Scoring is one pass without shuffle.
 
-Defined results: null and empty texts and texts without a word have language ``und`` and score 0; documents
+Defined results: a text of any length is scored whole; null and empty texts and texts without a word have language ``und`` and score 0; documents
 without a language teach nothing; without any teacher all are ``und``; repeated rows are each scored; an
 empty table gives an empty result. Further columns are ignored: the result has the id, ``language``,
 ``score`` and ``n_grams`` only.
