@@ -5,11 +5,12 @@ distinct documents of each hash counted. A line found in more than ``max_docs``
 wherever it occurs; with ``keep_first`` (the default) the document of the lowest id that holds it keeps it, so that
 the text of a document copied a thousand times survives once. The rest is put together again in its order.
 
-Only (hash, id) pairs are shuffled for the count, with partial aggregation before a hot line's shuffle;
-the texts are joined once to the few hashes that their document loses.
+The exploded lines are hashed once and written; their (hash, id) pairs are counted, with partial aggregation
+before a hot line's shuffle, and the lines that are frequent come back to their rows by hash. A row's lost positions are
+gathered, its text joined once to them, and the stretches between them are put together.
 
 Defined results: lines blank after normalisation are never counted or dropped; a null text stays null, an
-empty one empty; rows with a null id are neither counted nor changed; rows that repeat an id are one
+empty one empty; a text of any length or number of lines is handled in time proportional to it; a line in exactly ``max_docs`` documents stays; rows with a null id are neither counted nor changed; rows that repeat an id are one
 document; an empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrowick.llm._session import cut_lineage
+
 MAX_DOCS = 20
 
 
@@ -30,29 +33,36 @@ def normalised(line: Column) -> Column:
     return F.trim(_evened(line))
 
 
-def _hash(line: Column) -> Column:
-    """Two independent hashes, null for a blank line."""
-    n = normalised(line)
-    return F.when(n != "", F.struct(F.xxhash64(n).alias("a"), F.hash(n).alias("b")))
-
-
 def _lost(base: DataFrame, max_docs: int, keep_first: bool) -> DataFrame:
-    """(fw_id, lost): the hashes that each document loses, from (fw_id, fw_text)."""
-    each = base.where("fw_id is not null and fw_text is not null").select("fw_id", F.explode(F.split(_evened(F.col("fw_text")), "\n")).alias("line")).select("fw_id", F.trim("line").alias("line")).where("line <> ''")
-    lines = each.select("fw_id", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
+    """(fw_id, fw_hash, lost): the positions, from 0, of the lines that each text loses, rising, from (fw_id, fw_hash, fw_text)."""
+    each = base.where("fw_id is not null and fw_text is not null").select("fw_id", "fw_hash", F.posexplode(F.split(_evened(F.col("fw_text")), "\n")).alias("pos", "line")).select("fw_id", "fw_hash", "pos", F.trim("line").alias("line")).where("line <> ''")
+    # two independent hashes of a line
+    lines = cut_lineage(each.select("fw_id", "fw_hash", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b")))
     frequent = lines.groupBy("a", "b").agg(F.count_distinct("fw_id").alias("n"), F.min("fw_id").alias("first")).where(F.col("n") > max_docs)
     found = lines.join(frequent.select("a", "b", "first"), ["a", "b"])
     if keep_first:
         found = found.where(F.col("fw_id") != F.col("first"))
-    return found.groupBy("fw_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
+    return found.groupBy("fw_id", "fw_hash").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
+
+
+def _between(lines: Column, lost: Column) -> Column:
+    """The lines but those at ``lost``, by slices between the positions: each line is copied once, however many go."""
+
+    def pieces(x: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(x["lost"], lambda p: p + 1))
+        ends = F.concat(x["lost"], F.array(F.size(x["lines"])))
+        return F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda s: F.slice(x["lines"], s["a"] + 1, s["z"] - s["a"])))
+
+    # the one struct holds the split text, which would otherwise be split again for each piece
+    return F.transform(F.array(F.struct(lines.alias("lines"), lost.alias("lost"))), pieces)[0]
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, max_docs: int, keep_first: bool) -> DataFrame:
     """docs packed as fw_row, beside fw_id, fw_text and kept: the lines left, null where nothing is lost."""
-    rows = docs.select(F.col(id_col).alias("fw_id"), F.col(text_col).alias("fw_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("fw_row"))
-    joined = rows.join(_lost(rows.select("fw_id", "fw_text"), max_docs, keep_first), "fw_id", "left")
-    kept = F.filter(F.split("fw_text", "\n"), lambda x: ~F.coalesce(F.array_contains("lost", _hash(x)), F.lit(False)))
-    return joined.withColumn("kept", F.when(F.col("lost").isNotNull(), kept)).drop("lost")
+    rows = docs.select(F.col(id_col).alias("fw_id"), F.col(text_col).alias("fw_text"), F.xxhash64(F.col(text_col)).alias("fw_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("fw_row"))
+    # rows of one id are told apart by their text's hash
+    joined = rows.join(_lost(rows.select("fw_id", "fw_hash", "fw_text"), max_docs, keep_first), ["fw_id", "fw_hash"], "left")
+    return joined.withColumn("kept", F.when(F.col("lost").isNotNull(), _between(F.split("fw_text", "\n"), F.col("lost")))).drop("lost", "fw_hash")
 
 
 def _text() -> Column:
