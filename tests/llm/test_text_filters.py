@@ -63,6 +63,20 @@ def test_line_dedup_of_an_empty_table(spark):
     assert rows(line_dedup.dedup_lines(docs(spark, []))) == []
 
 
+def test_line_dedup_of_texts_with_very_many_frequent_lines(spark):
+    """Time is in proportion to the lines: a text of 100,000 of them, each lost but in the first document."""
+    lines = [f"line {i}" for i in range(100_000)]
+    table = docs(spark, [(i, "\n".join(lines[: 100_000 if i == 21 else 2_000])) for i in range(22)] + [(22, "\n".join(f"line {i}" for i in range(2_005)))])
+    out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(table).collect()}
+    assert out[0] == ("\n".join(lines[:2_000]), 2_000, 0)
+    assert out[21] == ("\n".join(lines[2_000:]), 100_000, 2_000) and out[22] == ("\n".join(lines[2_000:2_005]), 2_005, 2_000)
+
+
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    table = [(i, "common line\nown %d" % i) for i in range(30)] + [(5, "first\ncommon line"), (5, "first\ncommon line"), (6, "")]
+    assert rows(line_dedup.dedup_lines(docs(spark, table))) == lines_by_hand(table, 20)
+
+
 # Decontamination
 
 
@@ -105,7 +119,7 @@ def test_decontamination_is_all_pairs(spark):
             expected.append((i, 1, 0))
             continue
         for k, item in items:
-            if item and len(item) >= decontaminate.MIN_CHARS and text:
+            if item and text:
                 d = least_distance(decontaminate.normalised(item), decontaminate.normalised(text))
                 if d <= int(decontaminate.RATE * len(decontaminate.normalised(item))):
                     expected.append((i, k, d))
@@ -117,6 +131,27 @@ def test_decontamination_is_all_pairs(spark):
     assert rows(kept, "doc_id") == sorted(((i,) for i, _ in table if i not in held), key=repr)
 
 
+def test_decontamination_of_a_thousand_items_with_one_opening():
+    """Only the items themselves are found where all of them have hits; the distances are those of the matrix."""
+    rng = random.Random(8)
+    opening = sentence(rng, 12)
+    items = [(i, f"{opening} {sentence(rng, 12)}") for i in range(1000)]
+    matcher = decontaminate.Matcher([(i, decontaminate.normalised(t)) for i, t in items], decontaminate.RATE)
+    text = " ".join(f"{opening} {sentence(rng, 14)}" for _ in range(20))
+    assert matcher.find(text) == []
+    for n in (0, 1, 6, 12):
+        near = edited(rng, items[7][1], n)
+        found = matcher.find(f"{text} {near} {text}")
+        assert [k for k, _ in found] == [7] and found[0][1] <= least_distance(items[7][1], near)
+
+
+def test_short_items_are_found_at_their_own_budget(spark):
+    items = spark.createDataFrame([(1, "a short one"), (2, "of twenty characters"), (3, "x"), (4, " ")], "item_id long, text string")
+    table = [(1, "it is A  short\none."), (2, "it is a shorter one"), (3, "of twanty characters, no y"), (4, "of twanti characters, no y"), (5, None), (6, "x")]
+    found = decontaminate.contaminated(docs(spark, table), items)
+    assert rows(found, "doc_id", "item_id", "distance") == [(1, 1, 0), (3, 2, 1), (6, 3, 0)]
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "an item that is long enough to be sought here")], "item_id long, text string")
