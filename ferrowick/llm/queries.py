@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ferrowick.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, substring_dedup, toxicity, url_filter, vector_search
@@ -26,7 +27,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search.nearest(_table(spark, sf_dir, "embeddings"))
+    """Every row whose id is divisible by EVERY, against all rows."""
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % vector_search.EVERY == 0)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

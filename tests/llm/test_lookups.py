@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -124,7 +125,7 @@ def test_a_cascade_is_exact_and_small():
 # Vector search
 
 
-def nearest_by_hand(table, k):
+def nearest_by_hand(table, k, every=1):
     clean = {}
     for i, v in table:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
@@ -134,6 +135,8 @@ def nearest_by_hand(table, k):
     clean = {i: np.array(v) for i, v in clean.items() if len(v) == d}
     out = []
     for i, v in clean.items():
+        if i % every:
+            continue
         order = sorted((((v - w) ** 2).sum(), j) for j, w in clean.items() if j != i)[:k]
         out += [(i, n + 1, j, round(float(np.sqrt(d2)), 6)) for n, (d2, j) in enumerate(order)]
     return sorted(out, key=repr)
@@ -151,6 +154,21 @@ def test_nearest_is_all_pairs(spark, shard_rows):
     table += [(400 + i, table[i][1]) for i in range(20)] + [(500 + i, [0.0] * 6) for i in range(30)]  # ties
     table += [(600, None), (601, []), (602, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (603, [float("nan")] * 6), (604, [float("inf")] + [0.0] * 5), (605, [1.0, 2.0]), (None, [0.0] * 6), (1, [99.0] * 6), (3, table[3][1])]
     assert rows(vector_search.nearest(vectors(spark, table), 5, shard_rows=shard_rows)) == nearest_by_hand(table, 5)
+    if shard_rows == 60:
+        some = vectors(spark, table)
+        assert rows(vector_search.nearest(some, 5, queries=some.vec_id % 20 == 0, shard_rows=shard_rows)) == nearest_by_hand(table, 5, 20)
+
+
+def test_nearest_of_a_vector_repeated_very_often(spark):
+    table = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(i), 0.0, 1.0]) for i in range(12_000)]
+    some = vectors(spark, table)
+    found = defaultdict(list)
+    for r in vector_search.nearest(some, 4, queries=some.vec_id % 20 == 0, shard_rows=500).orderBy("rank").collect():
+        found[r.vec_id].append((r.neighbor_id, r.distance))
+    assert sorted(found) == list(range(0, 12_000, 20))
+    repeated = [i for i in range(12_000) if i % 3]
+    assert all(found[i] == [(j, 0.0) for j in [j for j in repeated[:5] if j != i][:4]] for i in found if i % 3)
+    assert found[6000] == [(5997, 3.0), (6003, 3.0), (5994, 6.0), (6006, 6.0)]
 
 
 def test_nearest_of_few_and_none(spark):
@@ -163,8 +181,12 @@ def test_nearest_of_few_and_none(spark):
 def test_boxes_are_tight_and_hold_each_vector_once():
     rng = np.random.default_rng(16)
     x = rng.normal(size=(1000, 4))
-    tree = vector_search.KDTree(np.arange(1000), x, leaf=10)
+    turned = x @ vector_search._axes(x)
+    assert np.allclose(np.linalg.norm(turned[:50, None] - turned[None], axis=2), np.linalg.norm(x[:50, None] - x[None], axis=2))
+    tree = vector_search.KDTree(x, turned, np.arange(1000), np.arange(1001), leaf=10)
     leaves = [s for s, kids in zip(tree.span, tree.kids, strict=True) if kids is None]
     assert sorted(leaves)[0][0] == 0 and sum(b - a for a, b in leaves) == 1000 and max(b - a for a, b in leaves) <= 10
+    back = {tuple(v): w for v, w in zip(x.tolist(), turned, strict=True)}
     for (a, b), low, high in zip(tree.span, tree.low, tree.high, strict=True):
-        assert (tree.x[a:b].min(0) == low).all() and (tree.x[a:b].max(0) == high).all()
+        own = np.array([back[tuple(v)] for v in tree.x[a:b].tolist()])
+        assert (own.min(0) == low).all() and (own.max(0) == high).all()
