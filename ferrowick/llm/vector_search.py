@@ -10,7 +10,7 @@ distance. A tree is walked best first, by the least distance from box to query,
 each with its own kth distance; a block ends when no box is nearer than any kth distance. Distances that can matter are
 computed from the differences of the coordinates as given, in double precision.
 
-What reaches the driver is the sample and, for each shard, a box of at most ``ROUTE_AXES`` axes: about 150 bytes for ``shard_rows`` entries.
+What reaches the driver is the sample and, for each shard, a box of at most ``ROUTE_AXES`` axes: about 300 bytes for ``shard_rows`` entries.
 
 Defined results: neighbours are ordered by distance, then id, and never the row itself; with fewer than k others all are
 given; null ids, null vectors and vectors with a null, NaN or infinite element are no queries and no neighbours, nor are
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ferrowick.llm._session import bounded, cut_lineage
 
@@ -204,12 +205,12 @@ class Router:
                 yield -1 - node, near
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d).astype(np.float64)
 
 
 def _packed(x: np.ndarray) -> pa.Array:
-    width = x.shape[1] * 8
+    width = x.shape[1] * x.itemsize
     return pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
@@ -222,8 +223,11 @@ def _axes(sample: np.ndarray) -> np.ndarray:
 def nearest(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16_384, max_sample: int = 20_000) -> DataFrame:
     """(id, rank, neighbor_id, distance) of the k nearest others of every row for which ``queries`` holds (by default of all), exact."""
     spark = vectors.sparkSession
+    # single precision is moved as such, and computed with in double
+    single = isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    kind, name = (np.float32, "float") if single else (np.float64, "double")
     asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
-    clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), asked.alias("asked")).where("id is not null and v is not null and size(v) > 0").where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
+    clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{name}>").alias("v"), asked.alias("asked")).where("id is not null and v is not null and size(v) > 0").where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     rows = cut_lineage(clean.groupBy("id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")))
     schema = "query long, rank int, neighbor_id long, distance double"
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -231,7 +235,7 @@ def nearest(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, i
         return spark.createDataFrame([], schema).withColumnRenamed("query", id_col)
     d, n = length.d, length["count"]
     rows = rows.where(F.size("v") == d)
-    sample = np.array(bounded(rows, "id", max_sample).orderBy("id").select("v").toArrow()["v"].to_pylist())
+    sample = np.array(bounded(rows, "id", max_sample).orderBy("id").select("v").toArrow()["v"].to_pylist(), np.float64)
     turn = _axes(sample)
     nodes = top_splits(sample @ turn, max(1, -(-n // shard_rows)))
     # of each vector its k + 1 least ids, cut before the shuffle too: no group is gathered
@@ -244,7 +248,7 @@ def nearest(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, i
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(0).flatten().to_numpy().reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([pa.array(assign(x @ turn, nodes).astype(np.int32)), b.column(1), _packed(x), b.column(2)], ["shard", "q", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(assign(x.astype(np.float64) @ turn, nodes).astype(np.int32)), b.column(1), _packed(x), b.column(2)], ["shard", "q", "v", "ids"])
 
     kinds = "shard int, q long, v binary, ids array<long>"
     placed = cut_lineage(entries.select("v", F.lit(None).cast("long").alias("q"), "ids").mapInArrow(place, kinds))
@@ -268,18 +272,18 @@ def nearest(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, i
                 part, kth = part.slice(own), kth[own:]
                 if len(kth) and held:
                     if tree is None:
-                        x = np.concatenate([_matrix(h.column(2), d) for h in held])
+                        x = np.concatenate([_matrix(h.column(2), d, kind) for h in held])
                         lists = pa.concat_arrays([h.column(3) for h in held])
                         sizes = lists.value_lengths().to_numpy()
                         tree = KDTree(x, x @ turn, lists.flatten().to_numpy(), np.append(0, np.cumsum(sizes)))
-                    x = _matrix(part.column(2), d)
+                    x = _matrix(part.column(2), d, kind)
                     r, found, d2 = tree.search(x, x @ turn, k + 1, kth)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), shard, np.int32)), part.column(1).take(pa.array(r)), pa.array(d2), pa.array(found), pa.nulls(len(r), pa.binary())], names)
 
     def box_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A box for each shard that a batch has entries of."""
         for b in batches:
-            number, y = b.column(0).to_numpy(), _matrix(b.column(1), d) @ turn[:, :ROUTE_AXES]
+            number, y = b.column(0).to_numpy(), _matrix(b.column(1), d, kind) @ turn[:, :ROUTE_AXES]
             order = np.argsort(number, kind="stable")
             cuts = np.flatnonzero(np.diff(number[order])) + 1
             parts = [y[i] for i in np.split(order, cuts) if len(i)]
@@ -295,9 +299,8 @@ def nearest(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, i
     found = answered(home.withColumn("kth", F.lit(float("inf"))))
     if nodes:
         found = cut_lineage(found)  # at most k + 1 rows a query
-        axes = F.arrays_zip
         sides = placed.select("shard", "v").mapInArrow(box_of, "shard int, low array<double>, high array<double>")
-        each = sides.select("shard", F.posexplode(axes("low", "high"))).groupBy("shard", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high"))
+        each = sides.select("shard", F.posexplode(F.arrays_zip("low", "high"))).groupBy("shard", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high"))
         # a row for each shard
         boxes = {r.shard: (np.array([p.low for p in r.s]), np.array([p.high for p in r.s])) for r in each.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("s")).collect()}
         shared = spark.sparkContext.broadcast(Router(nodes, boxes))
@@ -305,7 +308,7 @@ def nearest(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, i
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x, reach, own = _matrix(b.column(2), d), b.column(3).to_numpy(), b.column(0).to_numpy()
+                x, reach, own = _matrix(b.column(2), d, kind), b.column(3).to_numpy(), b.column(0).to_numpy()
                 y = x @ turn[:, :ROUTE_AXES]
                 slack = 1e-10 * (np.einsum("ij,ij->i", x, x) + np.where(np.isfinite(reach), reach, 0)) + 1e-300
                 for number, go in shared.value.route(y, reach + slack, own):

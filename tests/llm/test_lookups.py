@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ferrowick.llm import bpe, url_filter, vector_search
 from tests.llm.common import docs, rows, sentence
@@ -155,7 +156,8 @@ def test_nearest_is_all_pairs(spark, shard_rows):
     table += [(600, None), (601, []), (602, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (603, [float("nan")] * 6), (604, [float("inf")] + [0.0] * 5), (605, [1.0, 2.0]), (None, [0.0] * 6), (1, [99.0] * 6), (3, table[3][1])]
     assert rows(vector_search.nearest(vectors(spark, table), 5, shard_rows=shard_rows)) == nearest_by_hand(table, 5)
     if shard_rows == 60:
-        some = vectors(spark, table)
+        some = vectors(spark, table).withColumn("embedding", F.col("embedding").cast("array<float>"))
+        table = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in table]
         assert rows(vector_search.nearest(some, 5, queries=some.vec_id % 20 == 0, shard_rows=shard_rows)) == nearest_by_hand(table, 5, 20)
 
 
