@@ -4,12 +4,14 @@ A passage of ``MIN_WORDS`` or more words (runs of bytes that aren't white space)
 is reported. Comparing all documents with all shards would cost their product, so shards are chosen by content:
 
 1. Winnowing: of every ``MIN_WORDS`` words in a row, the run of ``ANCHOR`` words of the least hash is an anchor. Two
-   documents that share MIN_WORDS words share an anchor within them. Each anchor stands for its window: all
-   runs of MIN_WORDS words that contain it. Only hashes and positions are shuffled, once; anchors of a single document go.
-2. A window found whole in several documents is repeated as it stands. The other windows of an anchor are
-   gathered in the anchor's shard, a repeated window once.
+   documents that share MIN_WORDS words share an anchor within them. A first pass over the texts aggregates the anchors' hashes to
+   those of two or more documents and marks them in a Bloom filter of a fixed size (``FILTER_BITS``), which is broadcast; a
+   second pass lets only anchors in it out, so hardly a row of an unshared anchor is shuffled.
+2. Each anchor stands for its window: all runs of MIN_WORDS words that contain it. A window found whole in several documents
+   is repeated as it stands. The other windows of an anchor are gathered in the anchor's shard, a repeated window once.
+   Both are told by aggregation before and after the shuffle, so no anchor's rows pass through one task.
 3. Each shard's windows form an FM-index: the Burrows-Wheeler transform of their words in a wavelet matrix of
-   packed bits with rank counts, beside the LCP array. Its windows are streamed against it, all in lockstep:
+   packed bits with rank counts, beside the LCP array in bytes. Its windows are streamed against it, all in lockstep:
    backward search, going to the parent interval where no other document follows, gives matching statistics, the longest
    match with another document at every word. Matches of MIN_WORDS words or more are intervals.
 4. An anchor with more than ``MAX_CLASSES`` different windows (a phrase common to very many documents) would not fit a
@@ -17,7 +19,7 @@ is reported. Comparing all documents with all shards would cost their product, s
 
 A document's intervals are united. Both ways together cover every match; nothing is capped.
 
-Defined results: null, empty and shorter texts repeat nothing; a passage repeated within one document only isn't reported;
+Defined results: a text of any length is searched whole; of two intervals that touch or overlap one is made; null, empty and shorter texts repeat nothing; a passage repeated within one document only isn't reported;
 rows with a null id are left out; rows that repeat an id are one document, each with its own intervals; an empty table gives an empty
 result. Offsets are bytes of the UTF-8 text, from 0, the end exclusive; words are compared by 64-bit hashes. Further
 columns are ignored: the result has the id, ``start`` and ``end``.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ from ferrowick.llm._session import cut_lineage
 
 MIN_WORDS, ANCHOR = 50, 32
 MAX_CLASSES, SHARD_WORDS = 1_000, 400_000
+#: Bits of the filter of shared anchors, 16 MB whatever the corpus; two of each anchor are set.
+FILTER_BITS = 1 << 27
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -66,23 +71,60 @@ def anchors(words: np.ndarray, rows: np.ndarray, min_words: int = MIN_WORDS, anc
     return np.flatnonzero(lowest)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, whole, id, tag, start, end, n): each anchor's hash, its window's hash, and where the window lies."""
+def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, id): each anchor's hash, once for a text."""
     for b in batches:
-        for first, end, data, offsets in tx.chunks(b.column(2)):
+        for first, _, data, offsets in tx.chunks(b.column(2)):
             starts, ends, rows = tx.words(data, offsets)
             word = tx.window_hashes(data)(starts, ends)
             at = anchors(word, rows)
-            if not len(at):
-                continue
-            bounds = np.searchsorted(rows, np.arange(end - first + 1))
-            row = rows[at]
-            a, z = np.maximum(at + ANCHOR - MIN_WORDS, bounds[row]), np.minimum(at + MIN_WORDS, bounds[row + 1])
-            of, origin, pick = tx.code_hashes(word), offsets[row], pa.array(row + first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(of(at, at + ANCHOR).view(np.int64)), pa.array(of(a, z).view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array((starts[a] - origin).astype(np.int32)), pa.array((ends[z - 1] - origin).astype(np.int32)), pa.array((z - a).astype(np.int32))],
-                ["anchor", "whole", "id", "tag", "start", "end", "n"],
-            )
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(tx.code_hashes(word)(at, at + ANCHOR).view(np.int64)), b.column(0).take(pa.array(rows[at] + first))], ["anchor", "id"])
+
+
+def _places(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(FILTER_BITS - 1)
+    return (anchor & mask).astype(np.int64), ((anchor >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def _anchored(shared: Broadcast):
+    """(anchor, whole, id, tag, start, end, n): each anchor's hash, if the filter has it, its window's hash, and where the window lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            for first, end, data, offsets in tx.chunks(b.column(2)):
+                starts, ends, rows = tx.words(data, offsets)
+                word = tx.window_hashes(data)(starts, ends)
+                at = anchors(word, rows)
+                if not len(at):
+                    continue
+                of = tx.code_hashes(word)
+                anchor = of(at, at + ANCHOR)
+                one, two = _places(anchor)
+                known = ((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1).astype(bool)
+                at, anchor = at[known], anchor[known]
+                bounds = np.searchsorted(rows, np.arange(end - first + 1))
+                row = rows[at]
+                a, z = np.maximum(at + ANCHOR - MIN_WORDS, bounds[row]), np.minimum(at + MIN_WORDS, bounds[row + 1])
+                origin, pick = offsets[row], pa.array(row + first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(of(a, z).view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array((starts[a] - origin).astype(np.int32)), pa.array((ends[z - 1] - origin).astype(np.int32)), pa.array((z - a).astype(np.int32))],
+                    ["anchor", "whole", "id", "tag", "start", "end", "n"],
+                )
+
+    return run
+
+
+def _filter_of(shared: DataFrame) -> np.ndarray:
+    """The bits of these anchors; they are set by aggregation, and at most FILTER_BITS of them reach the driver."""
+    mask = F.lit(FILTER_BITS - 1)
+    place = F.explode(F.array(F.col("anchor").bitwiseAND(mask), F.shiftrightunsigned("anchor", 32).bitwiseAND(mask)))
+    parts = shared.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part, bits in parts.collect():  # 4 KB each
+        out[part * 4096 : part * 4096 + 4096] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 class WaveletMatrix:
@@ -159,7 +201,8 @@ class FMIndex:
         self.texts, self.begin = text, ends - sizes + 1
         distinct_ends = text + len(ends)
         distinct_ends[ends] = np.arange(len(ends))
-        order, self.lcp = suffix_array(distinct_ends)
+        order, lcp = suffix_array(distinct_ends)
+        self.lcp = lcp.astype(np.min_scalar_type(int(lcp.max(initial=0))))  # no match is longer than a window
         self.bwt = WaveletMatrix(text[order - 1], len(self.alphabet) + 1)
         counts = np.bincount(text, minlength=len(self.alphabet) + 1)
         # a symbol's first rank, less its first place on the wavelet matrix's last level
@@ -179,7 +222,7 @@ class FMIndex:
     def _parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The least wider interval, and its depth."""
         right = np.where(hi < self.n, self.lcp[np.minimum(hi, self.n - 1)], 0)
-        depth = np.maximum(self.lcp[lo], right)
+        depth = np.maximum(self.lcp[lo], right).astype(np.int64)
         lo, hi = lo.copy(), hi.copy()
         for k in range(len(self.table) - 1, -1, -1):
             step = 1 << k
@@ -272,21 +315,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     # the tag tells rows of one id apart
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
-    per_anchor, per_class = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
-    in_class = per_class.orderBy("id", "tag", "start")
-    rows = own.mapInArrow(_anchored, f"anchor long, whole long, id {kind}, tag int, start int, end int, n int")
-    found = (
-        rows.withColumn("shared", F.min("id").over(per_anchor) != F.max("id").over(per_anchor))
-        .where("shared")
-        .withColumn("many", F.min("id").over(per_class) != F.max("id").over(per_class))
-        .withColumn("first", F.row_number().over(in_class) == 1)
-        .withColumn("classes", F.sum(F.col("first").cast("int")).over(per_anchor))
-    )
+    kinds = f"anchor long, whole long, id {kind}, tag int, start int, end int, n int"
+    ids = own.mapInArrow(_anchors_of, f"anchor long, id {kind}").groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = cut_lineage(ids.where("lo <> hi").select("anchor"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(shared))  # FILTER_BITS
+    rows = cut_lineage(own.mapInArrow(_anchored(bits), kinds).join(shared, "anchor", "left_semi"))
+    classes = rows.groupBy("anchor", "whole").agg((F.min("id") != F.max("id")).alias("many"), F.min(F.struct("id", "tag", "start")).alias("first"))
+    classes = classes.join(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")), "anchor").withColumnRenamed("first", "least")
+    # a window in many documents stands for itself once, the rest for their documents
+    found = rows.join(classes, ["anchor", "whole"]).withColumn("first", F.struct("id", "tag", "start") == F.col("least"))
     found = cut_lineage(found.select("anchor", "id", "tag", "start", "end", "n", "many", "first", "classes"))
     whole = found.where(F.col("many") & (F.col("n") >= MIN_WORDS)).select("id", "tag", "start", "end")
     asked = found.where((F.col("classes") > 1) & (~F.col("many") | F.col("first")))
     shards = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // shard_words))
-    wanted = asked.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "end", "many", "classes")).alias("windows"))
+    wanted = asked.groupBy("id", "tag").agg(F.collect_set(F.struct("anchor", "start", "end", "many", "classes")).alias("windows"))
     cut = own.join(wanted, ["id", "tag"]).select("id", "tag", F.encode("text", "UTF-8").alias("bytes"), F.explode("windows").alias("w"))
     # windows begin and end at the bounds of words, so the bytes cut out are whole characters
     windows = cut_lineage(cut.select("id", "tag", "w.anchor", "w.start", "w.many", "w.classes", F.decode(F.expr("substring(bytes, w.start + 1, w.end - w.start)"), "UTF-8").alias("text")))
