@@ -221,14 +221,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group; rows are told apart by id and text."""
-    key = [id_col, "near_dedup_text_hash"]
+    key = ["fw_id", "fw_text_hash"]
     found = cut_lineage(grouped(docs, id_col, text_col, threshold).groupBy("id", "text_hash").agg(F.first("node").alias("node"), F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")))
     kept = found.where("node = keeper and id = keeper.id").groupBy("keeper").agg(F.min("text_hash").alias("text_hash"))
     kept = kept.select(F.col("keeper.id").alias("id"), "text_hash")
     gone = found.select("id", "text_hash").join(kept, ["id", "text_hash"], "left_anti").toDF(*key)
-    keyed = docs.withColumn(key[1], _text_hash(text_col))
+    # packed, so that no further column can bear a name used here
+    keyed = docs.select(F.col(id_col).alias(key[0]), _text_hash(text_col).alias(key[1]), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("fw_row"))
     left = keyed.join(gone, key, "left_anti")
     twice = cut_lineage(found.where("n > 1").join(kept, ["id", "text_hash"], "left_semi").select("id", "text_hash").toDF(*key))
     if not twice.isEmpty():
         left = left.join(twice, key, "left_anti").unionByName(left.join(twice, key, "left_semi").dropDuplicates(key))
-    return left.drop(key[1]).select(docs.columns)
+    return left.select(*[F.col(f"fw_row.`{c}`").alias(c) for c in docs.columns])
