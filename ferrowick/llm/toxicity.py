@@ -166,7 +166,7 @@ def _fit(y: np.ndarray, held: np.ndarray, texts: list[list[list[int]]], names: n
 
 
 def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap between scores at which the F1 measure on texts held out is best; 0.5 without both classes."""
+    """The middle of the gap between scores at which the F1 measure on texts held out is best; 0.5 without both classes, or where the best is to flag all."""
     if not y.any() or y.all():
         return 0.5
     order = np.argsort(-scores, kind="stable")
@@ -174,7 +174,9 @@ def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
     last = np.append(s[1:] != s[:-1], True)
     f1 = np.where(last, 2 * hits / (np.arange(1, len(s) + 1) + y.sum()), 0)
     best = int(np.argmax(f1))
-    below = s[best + 1] if best + 1 < len(s) else 0.0
+    if s[best] == s[-1]:  # nothing tells the classes apart
+        return 0.5
+    below = s[best + 1]
     return float(np.sqrt(s[best] * max(below, 1e-9)))
 
 
