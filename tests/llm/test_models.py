@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ferrowick.llm import language, quality, toxicity
 from tests.llm.common import WORDS, docs, rows, sentence
@@ -89,6 +90,73 @@ def test_isotonic_is_the_least_squares_rising_fit():
     assert np.allclose(np.interp(np.arange(15.0), knots, values), expected)
 
 
+def described(text):
+    """The statistics of a text, one by one."""
+    raw = (text or "").encode()
+    split = lambda pattern, data: re.findall(pattern, data)
+    words, lines = split(rb"[^\t\n\x0b\x0c\r ]+", raw), split(rb"[^\n]+", raw)
+    size, n = max(len(raw), 1), max(len(words), 1)
+    share = lambda pattern, data=raw, of=size: len(re.findall(pattern, data)) / of
+    length = np.array([len(w) for w in words], float)
+    mean = length.sum() / n
+    spans = [m.span() for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", raw)]
+    triples = [raw[a[0] : c[1]].lower() for a, _, c in zip(spans, spans[1:], spans[2:])]
+    return [
+        np.log1p(len(raw)), share(rb"[A-Za-z\x80-\xff]"), share(rb"[0-9]"), share(rb"[A-Z]"), share(rb"[\x80-\xff]"), share(rb"[!-/:-@\[-`{-~]"), share(rb"[#$%&*|!<>{}\[\]\\^~=_@]"), share(rb"[\t\n\x0b\x0c\r ]"),
+        np.log1p(len(words)), np.log1p(mean), np.log1p(np.sqrt(max((length**2).sum() / n - mean**2, 0))), sum(w > 14 for w in length) / n, sum(w < 4 for w in length) / n, sum(not re.search(rb"[A-Za-z\x80-\xff]", w) for w in words) / n,
+        len({w.lower() for w in words}) / n, 1 - len(set(triples)) / len(triples) if triples else 0, np.log1p(len(lines)), len({x.lower() for x in lines}) / max(len(lines), 1), np.log1p(len(raw) / max(len(lines), 1)),
+        sum(x[-1:] in b".!?:;\"')" for x in lines) / max(len(lines), 1), sum(len(re.findall(rb"[A-Z]", w)) > 1 for w in words) / n,
+    ]
+
+
+def test_quality_query_is_the_fit_by_hand(spark, graded, tmp_path):
+    """Statistics text by text, ridge by least squares over the stacked features, isotonic fit by its minimax formula."""
+    import __spark_entry__
+    from ferrowick.llm._session import hash_share
+
+    table, labels = graded[0][:160] + ODD, graded[1][:120] + [(9000, 0, 0, 1, 2), (None, 1, 0, 1, 2), (5, 0, 0, 1, 2)]
+    docs(spark, table, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    labelled(spark, labels).write.parquet(f"{tmp_path}/labels.parquet")
+    truth = {}
+    for i, y, *_ in labels:
+        if i is not None:
+            truth[i] = max(y, truth.get(i, 0))
+    held = {r.i for r in spark.createDataFrame([(i,) for i in truth], "i long").where(hash_share("i", 0.3, 5)).collect()}
+    text = dict(table)
+    ids = sorted(truth)
+    x, y = np.array([described(text[i]) for i in ids]), np.array([truth[i] for i in ids], float)
+    aside = np.array([i in held for i in ids])
+    rng, n = np.random.default_rng(11), 256
+    w, phase = rng.normal(0, 1 / 4.0, (x.shape[1], n)), rng.uniform(0, 2 * np.pi, n)
+    features = lambda v: np.sqrt(2 / n) * np.cos((v - x.mean(0)) / np.maximum(x.std(0), 1e-6) @ w + phase)
+    z, ridge = features(x[~aside]), 1e-3 * (~aside).sum() / n
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(ridge) * np.eye(n)]), np.append(y[~aside] - y.mean(), np.zeros(n)), rcond=None)[0]
+    score = lambda v: features(v) @ weights + y.mean()
+    s, order = score(x[aside]), np.argsort(score(x[aside]))
+    s, t = s[order], y[aside][order]
+    fit = [max(min(t[a : b + 1].mean() for b in range(i, len(t))) for a in range(i + 1)) for i in range(len(t))]
+    found = {r.doc_id: r for r in __spark_entry__.queries()["op1_quality"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(dict(table))
+    for i, v in text.items():
+        expected = score(np.array([described(v)]))[0]
+        assert abs(found[i].score - expected) < 1e-6, i
+        assert abs(found[i].quality - np.interp(expected, s, fit)) < 1e-4 and found[i].keep == (found[i].quality >= 0.5)
+
+
+# Bounded samples
+
+
+def test_a_sample_is_bounded_whatever_ids_repeat(spark):
+    from ferrowick.llm import _session
+
+    table = spark.range(100_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = labelled(spark, [(0, 1, 0, 0, 0), (1, 0, 1, 0, 0), (1, 1, 0, 0, 0)])
+    assert rows(_session.labelled(table, labels, "doc_id", "text", "quality", 100)) == [(0, "text 0", 1), (1, "text 1", 1)]
+    many = spark.range(5_000).select((F.col("id") % 7).alias("doc_id"), "id")
+    assert all(_session.bounded(many, "doc_id", most).count() <= most for most in (1, 10, 100, 4_999))
+    assert _session.bounded(many, "id", 1_000).count() > 850
+
+
 # Toxicity
 
 
@@ -141,6 +209,44 @@ def test_the_counterfactual_penalty_makes_neutral_mentions_harmless(spark, moder
     assert shift[5.0] < 0.5 * shift[0.0]
 
 
+def test_toxicity_fit_by_hand(spark, moderated):
+    """The features of most Pearson statistic, and the descent, over a dense matrix."""
+    from ferrowick.llm._session import hash_share
+
+    table, labels = moderated[0][:150], moderated[1][:150]
+    model = toxicity.fit_toxicity(docs(spark, table), labelled(spark, labels), max_features=40)
+    held = {r.i for r in spark.createDataFrame([(i,) for i, _ in table], "i long").where(hash_share("i", 0.2, 7)).collect()}
+    of = lambda text: set(toxicity._features(*toxicity.tx.as_bytes(pa.array([text])))[1].tolist())
+    each, y = [of(t) for _, t in table], np.array([x[2] for x in labels])
+    n1, n0, n = y.sum(), (1 - y).sum(), len(y)
+    chi = {}
+    for f in set().union(*each):
+        has = np.array([f in x for x in each])
+        a, b = (has & (y == 1)).sum(), (has & (y == 0)).sum()
+        if a + b >= 5:
+            chi[f] = (a * n0 - b * n1) ** 2 * n / (n0 * n1 * (a + b) * (n - a - b + 0.5))
+    names = sorted(chi, key=lambda f: (-chi[f], f))[:40]
+    dense = lambda text: np.array([f in of(text) for f in names], float)
+    own = [k for k, (i, _) in enumerate(table) if i not in held]
+    x, t = np.array([dense(table[k][1]) for k in own]), y[own]
+    swaps = [(table[k][1], v) for k in own for v in dict.fromkeys(toxicity.swap_terms(table[k][1], step) for step in (1, 2)) if v != table[k][1]]
+    change = np.array([dense(a) - dense(b) for a, b in swaps])
+    w, bias, m, v = np.zeros(40), np.log(t.mean() / (1 - t.mean())), np.zeros(41), np.zeros(41)
+    for step in range(1, 301):
+        gap = 1 / (1 + np.exp(-(x @ w + bias))) - t
+        g = np.append(x.T @ gap / len(t) + 1e-3 * w + 2 * (change.T @ (change @ w)) / len(change), gap.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * (1 - step / 301)
+        w, bias = w - move[:-1], bias - move[-1]
+    w[np.abs(w) < 1e-3] = 0
+    assert set(np.flatnonzero(model.weights)) == {f for f, value in zip(names, w, strict=True) if value}
+    assert np.allclose(model.weights[names], w, atol=1e-3) and abs(model.bias - bias) < 1e-3
+    scores = np.array([1 / (1 + np.exp(-(dense(text) @ w + bias))) for i, text in table if i in held])
+    truth = np.array([bool(c) for (i, _), c in zip(table, y, strict=True) if i in held])
+    f1 = lambda cut: 2 * ((scores >= cut) & truth).sum() / ((scores >= cut).sum() + truth.sum())
+    assert f1(model.threshold) >= max(f1(c) for c in scores) - 1e-9
+
+
 def test_toxicity_without_labels_with_one_class_and_on_an_empty_table(spark, moderated):
     table = docs(spark, moderated[0][:20] + ODD)
     for labels, flagged in (([], False), ([(i, 1, 0, 0, 0) for i in range(9)], False), ([(i, 1, 1, 0, 0) for i in range(9)], True)):
@@ -187,6 +293,42 @@ def test_language_on_documents_held_out(spark, spoken):
     assert language.identify(docs(spark, []), filters).collect() == []
 
 
+def grams_by_hand(text):
+    out = []
+    for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+        word = word.lower()
+        out.append(("word", word))
+        out += [(n, i == 0, word[i : i + n]) for n in language.SIZES for i in range(len(word) - n + 1)]
+    return out
+
+
+def test_language_query_is_a_count_over_sets(spark, spoken, tmp_path):
+    """Each language's n-grams as a set; the filters may only add what the correction takes off again."""
+    from collections import Counter
+
+    import __spark_entry__
+
+    table = [*spoken, (900, "kato mirelas 12 schuwenz", "aa"), *[(*o, None) for o in ODD]]
+    docs(spark, table, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {lang: Counter() for lang in ("aa", "bb", "cc")}
+    for _, text, lang in table:
+        if lang:
+            counts[lang].update(grams_by_hand(text))
+    held = {lang: {g for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    found = __spark_entry__.queries()["op10_language"](spark, str(tmp_path)).collect()
+    assert len(found) == len(table)
+    text = {i: t for i, t, _ in table}
+    for r in found:
+        grams = grams_by_hand(text[r.doc_id])
+        assert r.n_grams == len(grams)
+        shares = {lang: sum(g in own for g in grams) / max(len(grams), 1) for lang, own in held.items()}
+        best = max(shares, key=lambda lang: (shares[lang], -ord(lang[0])))
+        if not grams or shares[best] < 0.04:
+            assert r.language == "und"
+        else:
+            assert r.language == best and abs(r.score - shares[best]) < 0.03
+
+
 def test_language_without_teachers(spark, spoken):
     filters = language.fit_languages(docs(spark, []))
     assert {r.language for r in language.identify(docs(spark, spoken[:5]), filters).collect()} == {"und"}

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -104,6 +105,40 @@ def test_stages_keep_the_columns_but_the_last(spark, corpus):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "byte-level BPE"]
 
 
+def test_decontamination_query_is_all_pairs(spark, corpus):
+    """All distances; the edit distance itself is held against the matrix elsewhere."""
+    folder, table, items = corpus
+    n, expected = decontaminate.normalised, []
+    for i, text in table:
+        for k, item in items:
+            d = decontaminate.myers(n(item), n(text)) if text and text.strip() else len(item)
+            if d <= int(decontaminate.RATE * len(n(item))):
+                expected.append((i, k, d))
+    assert len({d for *_, d in expected}) > 1
+    assert rows(__spark_entry__.queries()["op3_decontamination"](spark, folder), "doc_id", "item_id", "distance") == sorted(expected, key=repr)
+
+
+def test_stages_with_very_long_texts_and_clashing_columns(spark, corpus, tmp_path):
+    """Nulls in every column, a text of a megabyte and more, copies of it, columns of the operators' own names."""
+    rng = random.Random(21)
+    long = "\n".join(sentence(rng, 40) for _ in range(4_000))
+    table = [(1, long), (2, long + " end"), (2, long), (3, None), (None, None), (None, ""), (4, corpus[2][0][1]), (5, "x" * 1_500_000), (6, "\n" * 100_000), (7, "one line"), (7, "one line")]
+    folder = str(tmp_path)
+    wide = docs(spark, table, extra=True).withColumns({"kept": F.lit(None).cast("string"), "near_dedup_text_hash": F.lit("n"), "keeper": F.lit(1), "fw_hash": F.lit(2), "held": F.lit(True), "text_hash": F.lit(3)})
+    wide.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{corpus[0]}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    before = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {"toxicity": table, "line dedup": table, "near dedup": [r for k, r in enumerate(table) if k not in (1, 2, 9)], "decontamination": [r for r in table if r[0] != 4]}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, before, folder)
+        assert out.columns == before.columns
+        assert sorted((r.doc_id, len(r.text or "")) for r in out.where("doc_id is not null").collect()) == sorted((i, len(t or "")) for i, t in left[name] if i is not None), name
+        assert {(r.keeper, r.fw_hash, r.text_hash, r.score) for r in out.collect()} == {(1, 2, 3, 0.5)}
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert {i for i in found if i is not None} == {1, 3, 5, 6, 7} and found[1].decoded == long and found[5].decoded == "x" * 1_500_000
+
+
 def test_pipeline_of_no_documents(spark, corpus, tmp_path):
     folder = str(tmp_path)
     docs(spark, []).write.parquet(f"{folder}/documents.parquet")
