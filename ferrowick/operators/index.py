@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrowick.functions import bm25, codec
 from ferrowick.functions.text import tokenize
+from ferrowick.operators.lineage import cut_lineage, delete, exists
 from ferrowick.operators.ranges import running, running_before
 
 POSTINGS_PER_BLOCK = 128
+#: Terms of a batch up to which they are compared as a list within the scan, and up to which they are broadcast.
+FEW_TERMS, MOST_TERMS = 1_000, 1_000_000
 BLOCK_RECORD_BYTES = 20
 
 
@@ -25,13 +33,11 @@ def corpus_stats(info: DataFrame) -> DataFrame:
     return info.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_dl"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, dl, tf); with ``terms`` of these terms only, dropped before the shuffle."""
+def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, doc_id, dl, tf)."""
     tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokenize(F.col(text_col)).alias("tokens"))
     # for an inner explode the optimizer would ask for the array's size first, by tokenising every text a second time
     each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -55,9 +61,18 @@ def posting_deltas(rows: DataFrame) -> DataFrame:
 
 
 def undelta(rows: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, pos) from (term, pos, delta, tf)."""
-    summed = running(rows.select("term", "pos", "delta", "tf"), ["pos"], group=["term"], sums={"before": F.col("delta")})
-    return summed.select("term", (F.col("before") + F.col("delta")).alias("doc_id"), "tf", "pos")
+    """(term, doc_id, tf, pos) from (term, pos, delta, tf); an error for ids that don't rise and sums beyond 2**63 - 1."""
+    # the first distance may be 0, none after it
+    checked = F.when((F.col("delta") > 0) | ((F.col("pos") == 1) & (F.col("delta") == 0)), F.col("delta")).otherwise(F.raise_error(F.lit("document ids don't rise")).cast("long"))
+    summed = running(rows.select("term", "pos", "delta", "tf"), ["pos"], group=["term"], sums={"before": checked})
+    total = F.col("before") + F.col("delta")
+    return summed.select("term", F.when(total >= F.col("before"), total).otherwise(F.raise_error(F.lit("a document id is too large")).cast("long")).alias("doc_id"), "tf", "pos")
+
+
+def check_blocks(block_rows: DataFrame) -> DataFrame:
+    """The same rows; an error at the first block without postings or with a size under 1."""
+    bad = F.coalesce((F.col("n_postings") < 1) | (F.col("doc_id_size") < 1) | (F.col("freq_size") < 1), F.lit(True))
+    return block_rows.where(F.when(bad, F.raise_error(F.concat(F.lit("corrupt block of "), F.coalesce("term", F.lit("?")))).cast("boolean")).otherwise(True))
 
 
 def first_at_least(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -66,15 +81,22 @@ def first_at_least(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
 
 
-def blocks(rows: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
-    """(term, block, last_doc_id, n_postings, doc_id_size, freq_size): runs of ``per_block`` postings of a term and their encoded sizes."""
+def blocks_of(placed: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
+    """(term, block, last_doc_id, n_postings, doc_id_size, freq_size): runs of ``per_block`` postings of a term and their encoded sizes, from posting_deltas."""
     if per_block <= 0:
         raise ValueError("per_block must be above 0")
     size = lambda c: F.sum(codec.encoded_length(F.col(c), codec_name)).cast("long")
-    placed = posting_deltas(rows).withColumn("block", F.floor((F.col("pos") - 1) / per_block).cast("int"))
+    placed = placed.withColumn("block", F.floor((F.col("pos") - 1) / per_block).cast("int"))
     return placed.groupBy("term", "block").agg(F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("n_postings"), size("delta").alias("doc_id_size"), size("tf").alias("freq_size"))
 
 
+def blocks(rows: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
+    """blocks_of the postings."""
+    if per_block <= 0:
+        raise ValueError("per_block must be above 0")
+    return blocks_of(posting_deltas(rows), codec_name, per_block)
+
+
 def block_offsets(block_rows: DataFrame) -> DataFrame:
     """blocks with start_offset: the bytes of all blocks before, in the order of term and block."""
     return running_before(block_rows.withColumn("bytes_", F.col("doc_id_size") + F.col("freq_size")), "bytes_", ["term", "block"], "start_offset").drop("bytes_")
@@ -106,29 +128,32 @@ def sizes(block_rows: DataFrame) -> DataFrame:
     )
 
 
-def spill_segments(per_doc: DataFrame, threshold: int) -> DataFrame:
-    """(segment, first_doc, last_doc, n_postings) of a build that writes a run after the document at which the count reaches ``threshold``; per_doc: (doc_id, n).
+def spill_of_documents(per_doc: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, n, segment) of a build that writes a run after the document at which the count reaches ``threshold``; per_doc: (doc_id, n).
 
     The cut depends on all documents before, so one task folds the pairs in their order; the memory that it takes is a batch's."""
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
 
-    def fold(frames):
-        import pandas as pd
-
-        segment, first, last, total = 0, None, None, 0
-        for f in frames:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, total = 0, 0
+        for b in batches:
             out = []
-            for doc, n in zip(f["doc_id"].tolist(), f["n"].tolist(), strict=True):
-                first, last, total = doc if first is None else first, doc, total + n
+            for n in b.column(1).to_pylist():
+                out.append(segment)
+                total += n
                 if total >= threshold:
-                    out.append((segment, first, last, total))
-                    segment, first, total = segment + 1, None, 0
-            yield pd.DataFrame(out, columns=["segment", "first_doc", "last_doc", "n_postings"])
-        if total:
-            yield pd.DataFrame([(segment, first, last, total)], columns=["segment", "first_doc", "last_doc", "n_postings"])
+                    segment, total = segment + 1, 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], ["doc_id", "n", "segment"])
+
+    pairs = per_doc.select(F.col("doc_id").cast("long"), F.col("n").cast("long"))
+    return pairs.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fold, "doc_id long, n long, segment int")
 
-    return per_doc.select("doc_id", "n").repartition(1).sortWithinPartitions("doc_id").mapInPandas(fold, "segment int, first_doc long, last_doc long, n_postings long")
+
+def spill_segments(per_doc: DataFrame, threshold: int) -> DataFrame:
+    """(segment, first_doc, last_doc, n_postings) of the runs that hold postings."""
+    runs = spill_of_documents(per_doc, threshold).groupBy("segment").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_postings"))
+    return runs.where("n_postings > 0")
 
 
 def term_weights(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -136,6 +161,14 @@ def term_weights(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats.select("n")).select("term", "df", bm25.idf(F.col("n"), F.col("df")).alias("idf"))
 
 
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+PARTS = ("postings", "lexicon", "blocks", "docinfo", "stats")
+FORMAT = 1
+
+
 @dataclass
 class Index:
     """What a search needs. Held as plans until ``save`` writes them; ``load`` reads them back."""
@@ -144,31 +177,100 @@ class Index:
     lexicon: DataFrame
     stats: DataFrame
     docs: DataFrame | None = None
-
-    def save(self, path: str, buckets: int = 64) -> None:
-        """Postings are clustered and sorted by term, so that a query's terms prune row groups. The lexicon is counted from the postings written, not from the texts again."""
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        read = self.postings.sparkSession.read
-        weights = term_weights(read.parquet(f"{path}/postings"), read.parquet(f"{path}/stats"))
-        weights.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+    #: Of a saved index: how many buckets its terms are in, and its further tables.
+    buckets: int = 0
+    blocks: DataFrame | None = None
+    docinfo: DataFrame | None = None
+
+    def save(self, path: str, buckets: int = 64, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> None:
+        """Write the postings with their blocks and byte offsets, the lexicon with term ids and positions, document information and statistics.
+
+        Terms lie in buckets, a folder each, and within them in files sorted by term and document, so that a query's terms choose
+        folders and row groups. A term of any length is cut into ranges. The description is written last; what a failure leaves is removed."""
+        spark = self.postings.sparkSession
+        try:
+            self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+            info = self.docinfo if self.docinfo is not None or self.docs is None else doc_info(self.docs)
+            (self.postings.select("doc_id", "dl").distinct() if info is None else info).write.mode("overwrite").parquet(f"{path}/docinfo")
+            self._laid(self.postings, buckets).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
+            # counted from what is written, not from the texts again
+            block_rows = blocks(spark.read.parquet(f"{path}/postings"), codec_name, per_block)
+            block_offsets(block_rows).write.mode("overwrite").parquet(f"{path}/blocks")
+            terms = lexicon(spark.read.parquet(f"{path}/blocks")).crossJoin(spark.read.parquet(f"{path}/stats").select("n"))
+            terms = terms.withColumn("idf", bm25.idf(F.col("n"), F.col("df"))).drop("n")
+            self._laid(terms, buckets, "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lexicon")
+            about = {"format": FORMAT, "buckets": buckets, "codec": codec_name, "per_block": per_block}
+            spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        except Exception:
+            delete(spark, path)
+            raise
+
+    @staticmethod
+    def _laid(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+        order = order or ("term", "doc_id")
+        return rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lexicon", "stats")), docs)
+        """A saved index; ValueError if it is incomplete or of another format."""
+        missing = [p for p in (*PARTS, "about") if not exists(spark, f"{path}/{p}/_SUCCESS")]
+        if missing:
+            raise ValueError(f"no whole index at {path}: {', '.join(missing)} missing")
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        if about.get("format") != FORMAT:
+            raise ValueError(f"format {about.get('format')} of {path} isn't {FORMAT}")
+        parts = {p: spark.read.parquet(f"{path}/{p}") for p in PARTS}
+        return cls(parts["postings"], parts["lexicon"], parts["stats"], docs, about["buckets"], check_blocks(parts["blocks"]), parts["docinfo"])
+
+    def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
+        """The rows of these terms, at most a batch's; of a saved index only their buckets are listed and read."""
+        if self.buckets:
+            rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})))
+        if len(terms) <= FEW_TERMS:
+            return rows.where(F.col("term").isin(terms))
+        names = rows.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+        return rows.join(F.broadcast(names), "term", "left_semi")
+
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        return self._of(self.postings, terms)
+
+    def weights(self, terms: list[str]) -> dict[str, float]:
+        """The idf of those of the terms that the index has."""
+        return {r.term: r.idf for r in self._of(self.lexicon, terms).select("term", "idf").orderBy("term").collect()} if terms else {}
+
+    @cached_property
+    def _stats(self) -> Row:
+        return self.stats.first()
 
     def total_docs(self) -> int:
-        return self.stats.first()["n"]
+        return self._stats["n"]
 
     def avg_doc_length(self) -> float:
-        return self.stats.first()["avgdl"]
+        return self._stats["avgdl"]
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """An index of docs; with ``terms`` of these terms only, for a batch of queries that is known."""
-    rows = postings(docs, terms, id_col=id_col, text_col=text_col)
-    stats = corpus_stats(doc_info(docs, id_col=id_col, text_col=text_col))
-    return Index(rows, term_weights(rows, stats), stats, docs)
+    """An index of docs; with ``terms`` of these terms only, for a batch of queries that is known: then the texts are tokenised once, now."""
+    if terms is not None:
+        return _index_of(docs, terms, id_col, text_col)
+    rows = postings(docs, id_col=id_col, text_col=text_col)
+    info = doc_info(docs, id_col=id_col, text_col=text_col)
+    stats = corpus_stats(info)
+    return Index(rows, term_weights(rows, stats), stats, docs, docinfo=info)
+
+
+def _index_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> Index:
+    tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokenize(F.col(text_col)).alias("tokens"))
+    # each document has a row without term beside its tokens', so that lengths and postings come of one pass
+    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    names = terms.select("term").distinct().withColumn("known_", F.lit(True))
+    names = F.broadcast(names) if names.count() <= MOST_TERMS else names  # counted
+    each = each.join(names, "term", "left").where("term is null or known_")
+    rows = cut_lineage(each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    n = F.coalesce(F.sum("tf"), F.lit(0))
+    stats = rows.where("term is null").agg(n.alias("n"), F.coalesce(F.sum(F.col("tf") * F.col("dl").cast("long")), F.lit(0)).alias("total_dl")).select("n", "total_dl", F.when(F.col("n") > 0, F.col("total_dl") / F.col("n")).otherwise(0.0).alias("avgdl"))
+    kept = rows.where("term is not null")
+    return Index(kept, term_weights(kept, stats), stats, docs)
 
 
 def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
@@ -177,6 +279,16 @@ def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("docs_processed")).crossJoin(found.select(F.col("n_postings").alias("total_postings"), F.col("n_terms").alias("final_terms"), F.col("index_bytes").alias("final_index_bytes")))
 
 
+def saved_stats(index: Index, spill_threshold: int) -> DataFrame:
+    """build_stats of a saved index, and what a build that spills at ``spill_threshold`` postings would hold at most: spill_count, peak_partial_postings, peak_unique_terms."""
+    found = sizes(index.blocks).select(F.col("n_postings").alias("total_postings"), F.col("n_terms").alias("final_terms"), F.col("index_bytes").alias("final_index_bytes"))
+    placed = cut_lineage(spill_of_documents(index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), spill_threshold))
+    counts = placed.groupBy("segment").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("spill_count"), F.coalesce(F.max("n"), F.lit(0)).alias("peak_partial_postings"))
+    terms = index.postings.join(placed.select("doc_id", "segment"), "doc_id").select("segment", "term").distinct().groupBy("segment").agg(F.count(F.lit(1)).alias("terms"))
+    peak = terms.agg(F.coalesce(F.max("terms"), F.lit(0)).alias("peak_unique_terms"))
+    return index.docinfo.agg(F.count(F.lit(1)).alias("docs_processed")).crossJoin(found).crossJoin(counts).crossJoin(peak)
+
+
 def invalid_postings(rows: DataFrame) -> DataFrame:
     """Postings that break the index: null or negative parts, frequencies under 1, a document twice in a term."""
     again = F.count(F.lit(1)).over(Window.partitionBy("term", "doc_id")) > 1

@@ -45,6 +45,18 @@ def delete(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+def copy_in(spark: SparkSession, local: str, name: str) -> str:
+    """A file of the driver copied to a folder of any file system; its name there."""
+    system, path = _place(spark, name)
+    system.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), path)
+    return name
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    system, path = _place(spark, name)
+    return system.exists(path)
+
+
 def delete_at_end(spark: SparkSession, folder: str) -> None:
     """Have a folder removed when the driver's JVM ends: what lies in it is of use to this application only."""
     system, path = _place(spark, folder)

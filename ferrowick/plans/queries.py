@@ -1,10 +1,14 @@
 """Registered queries over the driver's tables, and the SQL that gives the same rows.
 
-The collection is ``documents``; the queries are the first six tokens, without stop words, of each ``benchmark`` text; the
-judgements are the documents that hold that text. ``json_responses``, which has no SQL, asks for the whole texts."""
+The collection is ``documents``; the queries are all tokens, without stop words, of each ``benchmark`` text; the
+judgements are the documents that hold that text. The queries named after a source or sink write a file from the tables to the
+shared folder and read it back."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ from ferrowick.functions.text import INSTRUCTIONS, STOP_WORDS, human_bytes, prom
 from ferrowick.operators import evaluate as ev
 from ferrowick.operators import index as ix
 from ferrowick.operators import search as se
-from ferrowick.sources import sinks
+from ferrowick.operators.lineage import cut_lineage, shared_folder
+from ferrowick.sources import files, sinks
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -38,11 +43,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(query_tokens(F.col("text")), 1, 6), " ").alias("query"))
-
-
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark_queries with all tokens of the texts."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(query_tokens(F.col("text")), " ").alias("query"))
 
 
@@ -56,16 +56,25 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda tokens, i: F.array_join(F.slice(tokens, i, 5), " ")
     counted = items.select("*", tokenize(F.col("item")).alias("t"))
     keyed = counted.where("size(t) >= 7").select("qid", "item", key(F.col("t"), F.lit(2)).alias("key"))
-    runs = documents(spark, sf_dir).select("doc_id", "text", tokenize(F.col("text")).alias("t")).where("size(t) >= 7").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("t") - 4), lambda i: key(F.col("t"), i)))).alias("key"))
-    long = runs.join(keyed, "key").where(F.contains("text", "item")).select("qid", "doc_id")
-    short = documents(spark, sf_dir).join(F.broadcast(counted.where("size(t) < 7")), F.contains("text", "item")).select("qid", "doc_id")
-    return long.union(short).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
-
-
+    keyed = F.broadcast(keyed) if items.count() <= FEW_ITEMS else keyed  # counted
+    tokens = documents(spark, sf_dir).select("doc_id", tokenize(F.col("text")).alias("t"))
+    places = F.when(F.size("t") >= 7, F.transform(F.sequence(F.lit(2), F.size("t") - 4), lambda i: key(F.col("t"), i)))
+    # an inner explode would be filtered by the array's size first, by tokenising every text a second time
+    runs = tokens.select("doc_id", F.explode_outer(places).alias("key")).where("key is not null")
+    pairs = runs.join(keyed, "key").select("doc_id", "qid", "item").distinct()
+    long = documents(spark, sf_dir).join(pairs, "doc_id").where(F.contains("text", "item")).select("qid", "doc_id")
+    few = counted.where("size(t) < 7")
+    blocks = max(1, -(-few.count() // FEW_ITEMS))
+    short = [documents(spark, sf_dir).join(F.broadcast(few.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)), F.contains("text", "item")).select("qid", "doc_id") for i in range(blocks)]  # FEW_ITEMS at a time
+    return reduce(DataFrame.union, short, long).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
+
+
+#: Items up to which their keys are broadcast.
+FEW_ITEMS = 500_000
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 _TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda x: lower(x))"
 _QUERY_TOKENS = f"list_filter({_TOKENS}, lambda t: t NOT IN ({_STOP}))"
-_BENCH = f"q AS (SELECT item_id AS qid, array_to_string({_QUERY_TOKENS.format('text')}[1:6], ' ') AS query FROM benchmark)"
+_BENCH = f"q AS (SELECT item_id AS qid, array_to_string({_QUERY_TOKENS.format('text')}, ' ') AS query FROM benchmark)"
 _POST = f"""tok AS (SELECT doc_id, text, {_TOKENS.format('text')} AS tokens FROM documents),
 info AS (SELECT doc_id, len(tokens)::INT AS dl FROM tok),
 post AS (SELECT term, doc_id, count(*)::INT AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
@@ -133,10 +142,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings(documents(spark, sf_dir))
 
 
-@registered(f"WITH {_POST} SELECT term, doc_id, dl, (2 * tf)::INT AS tf FROM post JOIN info USING (doc_id)")
+@registered(f"WITH {_POST} SELECT term, doc_id, dl, tf FROM post JOIN info USING (doc_id)")
 def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.postings(documents(spark, sf_dir))
-    return ix.merge_postings(rows.union(rows))
+    """Three builds over parts of the collection, merged."""
+    docs = documents(spark, sf_dir)
+    parts = [ix.postings(docs.where(F.pmod("doc_id", F.lit(3)) == i)) for i in range(3)]
+    return ix.merge_postings(parts[0].union(parts[1]).union(parts[2]))
 
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, ((pos - 1) // 128)::INT AS block, count(*) AS n, list(doc_id ORDER BY doc_id) AS doc_ids, list(tf ORDER BY doc_id) AS tfs FROM placed GROUP BY ALL")
@@ -185,8 +196,8 @@ _SIZES = f"WITH {_POST}, {_PLACED}, {_BLOCKS}, s AS (SELECT sum(doc_id_size + fr
 SELECT codec, index_bytes, blocks_bytes, index_bytes + blocks_bytes AS posting_store_bytes, n_blocks, n_postings, n_terms FROM r"""
 )
 def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.postings(documents(spark, sf_dir))
-    both = [ix.sizes(ix.blocks(rows, c)).select(F.lit(c).alias("codec"), "*") for c in codec.CODECS]
+    placed = ix.posting_deltas(ix.postings(documents(spark, sf_dir)))  # once for both
+    both = [ix.sizes(ix.blocks_of(placed, c)).select(F.lit(c).alias("codec"), "*") for c in codec.CODECS]
     return both[0].union(both[1])
 
 
@@ -217,15 +228,30 @@ def spill_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.spill_segments(per_doc, 50_000)
 
 
-@registered("SELECT count(*) AS n_invalid FROM documents WHERE doc_id < 0")
+@registered(
+    f"""WITH {_POST}, broken AS (SELECT term, CASE WHEN doc_id % 11 = 0 THEN -doc_id ELSE doc_id END AS doc_id, dl, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE tf END AS tf FROM post JOIN info USING (doc_id)
+ UNION ALL SELECT term, doc_id, dl, tf FROM post JOIN info USING (doc_id) WHERE doc_id % 5 = 0),
+seen AS (SELECT *, count(*) OVER (PARTITION BY term, doc_id) AS n FROM broken)
+SELECT doc_id, count(*) AS n_invalid FROM seen WHERE n > 1 OR doc_id < 0 OR tf < 1 GROUP BY doc_id"""
+)
 def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.invalid_postings(ix.postings(documents(spark, sf_dir))).agg(F.count(F.lit(1)).alias("n_invalid"))
+    """Postings with negative ids, frequencies of 0 and documents twice in a term put among them, found by document."""
+    rows = ix.postings(documents(spark, sf_dir))
+    broken = rows.select("term", F.when(F.col("doc_id") % 11 == 0, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), "dl", F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.col("tf")).alias("tf"))
+    return ix.invalid_postings(broken.unionByName(rows.where("doc_id % 5 = 0"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_invalid"))
 
 
-@registered(f"WITH {_POST}, f AS (SELECT term, min(doc_id) FILTER (doc_id >= 100) AS doc_id, 100::BIGINT AS target FROM post GROUP BY term) SELECT f.term, f.target, coalesce(f.doc_id, -1) AS doc_id, coalesce(post.tf, -1)::INT AS tf FROM f LEFT JOIN post ON post.term = f.term AND post.doc_id = f.doc_id")
+_TARGETS = (0, 3, 100, 250, 10**9)
+
+
+@registered(
+    f"""WITH {_POST}, t AS (SELECT DISTINCT term, unnest({list(_TARGETS)})::BIGINT AS target FROM post),
+f AS (SELECT t.term, t.target, min(doc_id) AS doc_id FROM t JOIN post ON post.term = t.term AND doc_id >= target GROUP BY ALL)
+SELECT t.term, t.target, coalesce(f.doc_id, -1) AS doc_id, coalesce(post.tf, -1)::INT AS tf FROM t LEFT JOIN f USING (term, target) LEFT JOIN post ON post.term = f.term AND post.doc_id = f.doc_id"""
+)
 def first_posting_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ix.postings(documents(spark, sf_dir))
-    found = ix.first_at_least(rows, rows.select("term").distinct().withColumn("target", F.lit(100).cast("long")))
+    found = ix.first_at_least(rows, rows.select("term").distinct().withColumn("target", F.explode(F.array(*[F.lit(t).cast("long") for t in _TARGETS]))))
     return found.select("term", "target", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("tf", F.lit(-1)).alias("tf"))
 
 
@@ -292,13 +318,13 @@ def search_with_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {_hits(_BENCH)} SELECT qid, doc_id FROM scored")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = benchmark_queries(spark, sf_dir)
-    return se.candidates(ix.build_index(documents(spark, sf_dir), se.query_terms(queries)), queries)
+    return se.candidates(se.index_for(documents(spark, sf_dir), queries), queries)
 
 
 @registered(f"WITH {_hits(_BENCH, _ALL)} SELECT qid, doc_id FROM scored")
 def candidate_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = benchmark_queries(spark, sf_dir)
-    return se.candidates(ix.build_index(documents(spark, sf_dir), se.query_terms(queries)), queries, conjunctive=True)
+    return se.candidates(se.index_for(documents(spark, sf_dir), queries), queries, conjunctive=True)
 
 
 # Runs, responses, evaluation
@@ -326,9 +352,12 @@ def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.run_lines(_search(1000)(spark, sf_dir))
 
 
-@registered(None)
+@registered(
+    f"""WITH {_hits(_BENCH)}, top AS (SELECT qid, to_json(list({{'rank': rank::INT, 'doc_id': doc_id, 'score': round(score, 6), 'passage': {_PASSAGE}}} ORDER BY rank)) AS results FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY qid)
+SELECT qid, '{{"q":' || to_json(query)::VARCHAR || ',"results":' || coalesce(results::VARCHAR, '[]') || '}}' AS response FROM q LEFT JOIN top USING (qid)"""
+)
 def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = whole_queries(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
     return sinks.responses(queries, se.search_documents(documents(spark, sf_dir), queries, se.SearchOptions(10, False, True)))
 
 
@@ -360,7 +389,7 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"{_JUDGED} SELECT * FROM per")
 def metrics_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = ev.per_query(judgements(spark, sf_dir), _run(spark, sf_dir))
+    per = ev.per_query(cut_lineage(judgements(spark, sf_dir)), _run(spark, sf_dir))
     return per.select("qid", *[F.round(c, 9).alias(c) for c in per.columns[1:]])
 
 
@@ -369,15 +398,107 @@ _MRR = "(SELECT avg(coalesce(rr, 0)) FROM (SELECT qid, (SELECT 1 / min(rank) FRO
 
 @registered(f"{_JUDGED} SELECT round({_MRR}, 9) AS mrr_cut_10")
 def mrr_cut_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.mrr_cut(judgements(spark, sf_dir), _run(spark, sf_dir)).select(F.round("mrr_cut_10", 9).alias("mrr_cut_10"))
+    return ev.mrr_cut(cut_lineage(judgements(spark, sf_dir)), _run(spark, sf_dir)).select(F.round("mrr_cut_10", 9).alias("mrr_cut_10"))
 
 
 @registered(f"{_JUDGED} SELECT round(avg(ndcg_cut_10), 6) AS ndcg_cut_10, round(avg(recall_1000), 6) AS recall_1000, round(avg(map), 6) AS map, round(avg(recip_rank), 6) AS recip_rank, round({_MRR}, 6) AS mrr_cut_10, count(*) AS num_queries FROM per")
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ev.evaluate(judgements(spark, sf_dir), _run(spark, sf_dir))
+    m = ev.evaluate(cut_lineage(judgements(spark, sf_dir)), cut_lineage(_run(spark, sf_dir)))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns[:-1]], "num_queries")
 
 
 @registered("WITH s AS (SELECT n_chars::DOUBLE AS v, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT p::DOUBLE AS p, v AS value FROM s, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(p) WHERE i = least(floor(p * n), n - 1)")
 def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.percentiles(table(spark, sf_dir, "documents").select(F.col("n_chars").cast("double").alias("v")), "v")
+
+
+# A saved index, sources and sinks
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> ix.Index:
+    docs, path = documents(spark, sf_dir), _folder(spark, "index")
+    ix.build_index(docs).save(path)
+    return ix.Index.load(spark, path, docs)
+
+
+@registered(f"WITH {_hits(_BENCH)} {_RESULT.format(10)}")
+def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_disjunctive_top10 against an index that was written and read."""
+    return se.search_batch(_saved(spark, sf_dir), benchmark_queries(spark, sf_dir))
+
+
+@registered(
+    f"""WITH {_POST}, {_PLACED}, {_BLOCKS}, t AS (SELECT term, sum(n_postings)::BIGINT AS df, sum(doc_id_size + freq_size)::BIGINT AS bytes_size FROM blk GROUP BY term)
+SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, coalesce(sum(bytes_size) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_position, bytes_size, round({_IDF}, 9) AS idf FROM t, st"""
+)
+def saved_index_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, sf_dir).lexicon.select("term", "term_id", "df", "start_position", "bytes_size", F.round("idf", 9).alias("idf"))
+
+
+_LINE = "doc_id::VARCHAR || chr(9) || replace(text, chr(10), ' ')"
+
+
+@registered(f"SELECT row_number() OVER w - 1 AS doc_id, coalesce(sum(strlen({_LINE}) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_pos, replace(text, chr(10), ' ') AS text FROM documents WINDOW w AS (ORDER BY doc_id)")
+def collection_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "collection")
+    documents(spark, sf_dir).orderBy("doc_id").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.replace("text", F.lit("\n"), F.lit(" ")))).write.text(path)
+    return files.read_collection(spark, path)
+
+
+def _query_file(spark: SparkSession, sf_dir: str) -> str:
+    """A line without TAB for every third item."""
+    path, text = _folder(spark, "queries"), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    items = table(spark, sf_dir, "benchmark").orderBy("item_id")
+    items.select(F.when(F.col("item_id") % 3 == 0, text).otherwise(F.concat(F.lit("q"), F.col("item_id").cast("string"), F.lit("\t"), text))).write.text(path)
+    return path
+
+
+_QUERY_LINES = "SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, item_id % 3 = 0 AS bare, 'q' || item_id AS qid, replace(replace(text, chr(10), ' '), chr(9), ' ') AS query FROM benchmark"
+
+
+@registered(f"SELECT line_no, qid, query FROM ({_QUERY_LINES}) WHERE NOT bare")
+def query_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_queries(spark, _query_file(spark, sf_dir))
+
+
+@registered(f"SELECT line_no, CASE WHEN bare THEN line_no::VARCHAR ELSE qid END AS qid, query FROM ({_QUERY_LINES})")
+def query_source_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_queries(spark, _query_file(spark, sf_dir), strict=False)
+
+
+@registered(f"WITH {_QRELS} SELECT 'q' || qid AS qid, 'd' || doc_id AS doc_id, (doc_id % 3)::INT AS rel FROM qrels")
+def qrels_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements written with a line of another length after each, read back."""
+    path = _folder(spark, "qrels")
+    line = F.concat_ws(" ", F.concat(F.lit("q"), "qid"), F.lit("0"), F.concat(F.lit("d"), "doc_id"), (F.col("doc_id") % 3).cast("string"))
+    judgements(spark, sf_dir).select(F.concat(line, F.lit("\nskipped "), line)).write.text(path)
+    return files.read_qrels(spark, path)
+
+
+def _run_file(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "run")
+    sinks.write_run(_search(100)(spark, sf_dir), path)
+    return path
+
+
+@registered(f"WITH {_hits(_BENCH)} SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 100")
+def run_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_run(spark, _run_file(spark, sf_dir))
+
+
+@registered(f"WITH {_hits(_BENCH)} SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc_id, rank::INT AS rank FROM ranked WHERE rank <= 100")
+def ranked_run_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_ranked_run(spark, _run_file(spark, sf_dir))
+
+
+@registered("SELECT r_regionkey::INT + 1 AS threads, 'latency' AS mode, r_regionkey * 1.5::DOUBLE AS qps, 1.0::DOUBLE AS p50_us, 2.0::DOUBLE AS p95_us, 3.0::DOUBLE AS p99_us, 0::INT AS throughput_chunk FROM region")
+def latency_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each number of threads, as CSV with a header, read back."""
+    rows, path = table(spark, sf_dir, "region"), _folder(spark, "latency")
+    sinks.write_latency(rows.select((F.col("r_regionkey").cast("int") + 1).alias("threads"), F.lit("latency").alias("mode"), (F.col("r_regionkey") * F.lit(1.5)).alias("qps"), F.lit(1.0).alias("p50_us"), F.lit(2.0).alias("p95_us"), F.lit(3.0).alias("p99_us"), F.lit(0).alias("throughput_chunk")), path)
+    kinds = "threads int, mode string, qps double, p50_us double, p95_us double, p99_us double, throughput_chunk int"
+    return spark.read.csv(path, header=True, schema=kinds)

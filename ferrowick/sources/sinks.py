@@ -39,9 +39,11 @@ def write_metrics(metrics: DataFrame, path: str, **about: str) -> str:
     return text
 
 
-def write_stats(stats: DataFrame, path: str) -> None:
+def write_stats(stats: DataFrame, path: str) -> str:
+    text = json.dumps(stats.first().asDict())
     with open(path, "w") as f:
-        json.dump(stats.first().asDict(), f)
+        f.write(text)
+    return text
 
 
 def write_latency(rows: DataFrame, path: str) -> None:

@@ -31,33 +31,78 @@ def parse(line: str, default_k: int = 10) -> tuple[str, int, str]:
     return request.get("q", ""), k, mode
 
 
+def _failed(e: Exception) -> str:
+    return json.dumps({"error": f"server: {e}"})
+
+
+def _found(index: Index, asked: list[tuple[str, str, int]], mode: str) -> dict[str, list[dict]]:
+    """Results of requests (number, query, k) of one mode, in one search; k is at most MOST for each."""
+    queries = index.postings.sparkSession.createDataFrame([x[:2] for x in asked], "qid string, query string")
+    most = {qid: k for qid, _, k in asked}
+    found: dict[str, list[dict]] = {qid: [] for qid in most}
+    results = search_batch(index, queries, SearchOptions(max(most.values()), mode == "conjunctive", index.docs is not None))
+    for r in results.orderBy("qid", "rank").toLocalIterator():
+        if r["rank"] <= most[r.qid]:
+            found[r.qid].append({"rank": r["rank"], "doc_id": r.doc_id, "score": r.score, "passage": r.passage})
+    return found
+
+
 def handle(index: Index, lines: Iterable[str], default_k: int = 10) -> Iterator[str]:
-    """A response for each line that isn't blank. The lines are answered together, with one search for each mode."""
+    """The response to each line that isn't blank, as soon as the line is read: a client may wait for it before its next line."""
+    for line in lines:
+        if not line.strip("\n"):
+            continue
+        try:
+            q, k, mode = parse(line, default_k)
+        except ValueError as e:
+            yield _failed(e)
+            continue
+        yield json.dumps({"q": q, "results": _found(index, [("0", q, k)], mode)["0"]}, ensure_ascii=False)
+
+
+def handle_together(index: Index, lines: Iterable[str], default_k: int = 10) -> list[str]:
+    """The responses to lines that are all at hand, in their order: queries of one mode and k are one search."""
     answers: list[str | None] = []
-    asked: dict[str, list[tuple[str, str, int]]] = {m: [] for m in MODES}
+    asked: dict[tuple[str, int], list[tuple[str, str, int]]] = {}
     for line in lines:
         if not line.strip("\n"):
             continue
         try:
             q, k, mode = parse(line, default_k)
-            asked[mode].append((str(len(answers)), q, k))
+            asked.setdefault((mode, k), []).append((str(len(answers)), q, k))
             answers.append(None)
         except ValueError as e:
-            answers.append(json.dumps({"error": f"server: {e}"}))
-    spark = index.postings.sparkSession
-    for mode, wanted in asked.items():
-        if not wanted:
-            continue
-        queries = spark.createDataFrame([x[:2] for x in wanted], "qid string, query string")
-        most = {qid: k for qid, _, k in wanted}
-        found: dict[str, list[dict]] = {qid: [] for qid in most}
-        results = search_batch(index, queries, SearchOptions(max(most.values()), mode == "conjunctive", index.docs is not None))
-        for r in results.orderBy("qid", "rank").toLocalIterator():
-            if r["rank"] <= most[r.qid]:
-                found[r.qid].append({"rank": r["rank"], "doc_id": r.doc_id, "score": r.score, "passage": r.passage})
+            answers.append(_failed(e))
+    for (mode, _), wanted in asked.items():
+        found = _found(index, wanted, mode)
         for qid, q, _ in wanted:
             answers[int(qid)] = json.dumps({"q": q, "results": found[qid]}, ensure_ascii=False)
-    return iter([a for a in answers if a is not None])
+    return [a for a in answers if a is not None]
+
+
+class Retriever:
+    """Searches of an index by request lines, one at a time, as a client of the loop would."""
+
+    def __init__(self, index: Index, default_k: int = 10) -> None:
+        self.index, self.default_k, self._open = index, default_k, True
+
+    def search(self, query: str, k: int | None = None, mode: str = MODES[0]) -> list[dict]:
+        """The results; RuntimeError if the request is refused or the retriever is closed."""
+        if not self._open:
+            raise RuntimeError("the retriever is closed")
+        reply = json.loads(next(handle(self.index, [json.dumps({"q": query, "k": self.default_k if k is None else k, "mode": mode})])))
+        if "error" in reply:
+            raise RuntimeError(reply["error"])
+        return reply["results"]
+
+    def close(self) -> None:
+        self._open = False
+
+    def __enter__(self) -> Retriever:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def interactive(index: Index, lines: Iterable[str], top_k: int = 10) -> Iterator[str]:

@@ -87,11 +87,11 @@ def test_reports(spark, tmp_path):
 
 
 def test_responses(spark):
-    queries = spark.createDataFrame([("a", "foo"), ("b", "zzz")], "qid string, query string")
+    queries = spark.createDataFrame([("a", "oak"), ("b", "zzz")], "qid string, query string")
     out = se.search_batch(build_index(collection(spark, TINY)), queries, se.SearchOptions(2, fill_passage=True))
     got = {r.qid: json.loads(r.response) for r in sinks.responses(queries, out).collect()}
     assert got["b"] == {"q": "zzz", "results": []}
-    assert [(r["rank"], r["doc_id"], r["passage"]) for r in got["a"]["results"]] == [(1, 1, "foo foo"), (2, 4, "foo bar")]
+    assert [(r["rank"], r["doc_id"], r["passage"]) for r in got["a"]["results"]] == [(1, 1, "oak oak"), (2, 4, "oak elm")]
 
 
 REQUESTS = ['{"q": "bm25 ranking", "k": 3}', "", "not json", '{"q": "inverted index"}', '{"q": "search", "k": 0}', '{"q": "x", "mode": "odd"}', '{"q": "search engine", "mode": "conjunctive"}', '{"q": "xyzzy"}', "[1]", '{"k": "3"}', "{}"]
@@ -101,10 +101,64 @@ def test_request_lines(spark):
     index = build_index(collection(spark, DEMO))
     out = [json.loads(x) for x in serve.handle(index, REQUESTS)]
     assert [[r["doc_id"] for r in x["results"]] if "results" in x else "error" for x in out] == [[2], "error", [3], "error", "error", [5], [], "error", "error", []]
+    assert serve.handle_together(index, REQUESTS) == list(serve.handle(index, REQUESTS))
     assert out[0]["q"] == "bm25 ranking" and out[0]["results"][0]["passage"] == DEMO[2][1] and out[1]["error"].startswith("server: ")
     assert list(serve.interactive(index, ["bm25\n", "\n", "zzz\n", "q\n", "search\n"]))[1] == "  (no results)"
 
 
+def test_each_line_is_answered_before_the_next_is_read(spark):
+    read = []
+
+    def lines():
+        for line in ('{"q": "ranking"}', "oops", '{"q": "model"}'):
+            read.append(line)
+            yield line
+
+    replies = serve.handle(build_index(collection(spark, DEMO)), lines())
+    assert read == [] and json.loads(next(replies))["results"][0]["doc_id"] == 2 and len(read) == 1
+    assert "error" in json.loads(next(replies)) and len(read) == 2
+    with serve.Retriever(build_index(collection(spark, DEMO))) as retriever:
+        assert [r["doc_id"] for r in retriever.search("parallel", 3)] == [4]
+        with pytest.raises(RuntimeError, match="k"):
+            retriever.search("parallel", 0)
+    with pytest.raises(RuntimeError, match="closed"):
+        retriever.search("parallel")
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from ferrowick import cli
+
+    collection_path, index = written(tmp_path / "c.tsv", "".join(f"{i}\t{t}\n" for i, t in DEMO)), str(tmp_path / "index")
+
+    def call(*args):
+        code = cli.main([str(a) for a in args], spark)
+        return code, capsys.readouterr().out
+
+    code, out = call("build", "--index", index, "--collection", collection_path, "--buckets", 4, "--stats-json", tmp_path / "stats.json", "--spill-threshold", 10)
+    stats = json.loads((tmp_path / "stats.json").read_text())
+    assert code == 0 and stats["docs_processed"] == 6 and stats["spill_count"] >= 3 and json.loads(out.splitlines()[0]) == stats
+    code, out = call("search", "--index", index, "--collection", collection_path, "--query", "parallel cores", "--conjunctive", "--top-k", 2)
+    assert code == 0 and json.loads(out)["results"][0]["doc_id"] == 4
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"q": "ranking", "k": 1}\nno\n'))
+    code, out = call("search", "--index", index, "--server")
+    assert code == 0 and [list(json.loads(x)) for x in out.splitlines()] == [["q", "results"], ["error"]]
+    queries = written(tmp_path / "q.tsv", "a\tranking\nno tab\nb\tinverted index\n")
+    assert call("run", "--index", index, "--queries", queries, "--out", tmp_path / "run")[0] == 0
+    qrels = written(tmp_path / "qrels", "a 0 2 1\nb 0 3 1\nc 0 1 1\n")
+    code, out = call("evaluate", "--qrels", qrels, "--run", tmp_path / "run", "--out", tmp_path / "m.json")
+    assert code == 0 and json.loads(out)["metrics"]["num_queries"] == 2 and abs(json.loads(out)["metrics"]["mrr_cut_10"] - 2 / 3) < 1e-9
+    assert "skipped" in call("evaluate", "--qrels", tmp_path / "missing", "--run", tmp_path / "run", "--out", tmp_path / "m.json")[1]
+    code, out = call("bench", "--index", index, "--queries", queries, "--csv", tmp_path / "csv")
+    assert code == 0 and "qps=" in out and call("bench", "--index", index, "--queries", queries, "--offset", 9)[0] == 2
+    code, out = call("rag", "--index", index, "--collection", collection_path, "--q", "which index lists words")
+    assert code == 0 and "Question: which index lists words" in out and "[3]" in out.splitlines()[-1]
+    assert call("search", "--index", tmp_path / "nowhere", "--query", "x")[0] == 2
+    with pytest.raises(SystemExit):
+        cli.main(["search", "--index", index, "--top-k", "0"], spark)
+
+
 def test_request_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     written(tmp_path / "in" / "a.jsonl", "\n".join(REQUESTS[:6]) + "\n")
