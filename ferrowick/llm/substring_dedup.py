@@ -317,13 +317,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
     kinds = f"anchor long, whole long, id {kind}, tag int, start int, end int, n int"
     ids = own.mapInArrow(_anchors_of, f"anchor long, id {kind}").groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shared = cut_lineage(ids.where("lo <> hi").select("anchor"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(shared))  # FILTER_BITS
-    rows = cut_lineage(own.mapInArrow(_anchored(bits), kinds).join(shared, "anchor", "left_semi"))
-    classes = rows.groupBy("anchor", "whole").agg((F.min("id") != F.max("id")).alias("many"), F.min(F.struct("id", "tag", "start")).alias("first"))
-    classes = classes.join(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")), "anchor").withColumnRenamed("first", "least")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(ids.where("lo <> hi").select("anchor")))  # FILTER_BITS
+    rows = cut_lineage(own.mapInArrow(_anchored(bits), kinds).withColumn("pick", F.xxhash64("id", "tag", "start")))
+    classes = rows.groupBy("anchor", "whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("pick").alias("least"))
+    # what the filter lets through by chance ends here
+    held = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi")).where("all_lo <> all_hi").select("anchor", "classes")
+    classes = classes.join(held, "anchor").select("anchor", "whole", (F.col("lo") != F.col("hi")).alias("many"), "least", "classes")
     # a window in many documents stands for itself once, the rest for their documents
-    found = rows.join(classes, ["anchor", "whole"]).withColumn("first", F.struct("id", "tag", "start") == F.col("least"))
+    found = rows.join(classes, ["anchor", "whole"]).withColumn("first", F.col("pick") == F.col("least"))
     found = cut_lineage(found.select("anchor", "id", "tag", "start", "end", "n", "many", "first", "classes"))
     whole = found.where(F.col("many") & (F.col("n") >= MIN_WORDS)).select("id", "tag", "start", "end")
     asked = found.where((F.col("classes") > 1) & (~F.col("many") | F.col("first")))
