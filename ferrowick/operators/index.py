@@ -81,6 +81,15 @@ def first_at_least(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
 
 
+def seek(lists: DataFrame, targets: DataFrame) -> DataFrame:
+    """first_at_least over posting_lists: of each term only the block is opened whose last document is the first not before the target."""
+    last = F.element_at("postings", -1)["doc_id"]
+    open_ = lists.select("term", "block", last.alias("last")).join(targets, "term").where("last >= target").groupBy("term", "target").agg(F.min("block").alias("block"))
+    hit = F.filter("postings", lambda p: p["doc_id"] >= F.col("target"))[0]
+    found = lists.join(open_, ["term", "block"]).select("term", "target", hit.alias("p")).select("term", "target", "p.doc_id", "p.tf")
+    return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
+
+
 def blocks_of(placed: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
     """(term, block, last_doc_id, n_postings, doc_id_size, freq_size): runs of ``per_block`` postings of a term and their encoded sizes, from posting_deltas."""
     if per_block <= 0:

@@ -217,12 +217,12 @@ def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.build_stats(documents(spark, sf_dir))
 
 
-@registered(
-    f"""WITH RECURSIVE {_POST}, per AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, len(list_distinct(tokens))::BIGINT AS n FROM tok),
+_WALK = f"""WITH RECURSIVE {_POST}, per AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, len(list_distinct(tokens))::BIGINT AS n FROM tok),
 walk AS (SELECT i, doc_id, 0 AS segment, n AS total FROM per WHERE i = 1
- UNION ALL SELECT p.i, p.doc_id, CASE WHEN w.total >= 50000 THEN w.segment + 1 ELSE w.segment END, CASE WHEN w.total >= 50000 THEN p.n ELSE w.total + p.n END FROM walk w JOIN per p ON p.i = w.i + 1)
-SELECT segment, min(doc_id) AS first_doc, max(doc_id) AS last_doc, max(total)::BIGINT AS n_postings FROM walk GROUP BY segment"""
-)
+ UNION ALL SELECT p.i, p.doc_id, CASE WHEN w.total >= 50000 THEN w.segment + 1 ELSE w.segment END, CASE WHEN w.total >= 50000 THEN p.n ELSE w.total + p.n END FROM walk w JOIN per p ON p.i = w.i + 1)"""
+
+
+@registered(f"{_WALK} SELECT segment, min(doc_id) AS first_doc, max(doc_id) AS last_doc, max(total)::BIGINT AS n_postings FROM walk GROUP BY segment")
 def spill_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc = documents(spark, sf_dir).select("doc_id", F.size(F.array_distinct(tokenize(F.col("text")))).cast("long").alias("n"))
     return ix.spill_segments(per_doc, 50_000)
@@ -242,19 +242,27 @@ def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TARGETS = (0, 3, 100, 250, 10**9)
-
-
-@registered(
-    f"""WITH {_POST}, t AS (SELECT DISTINCT term, unnest({list(_TARGETS)})::BIGINT AS target FROM post),
+_SEEK = f"""WITH {_POST}, t AS (SELECT DISTINCT term, unnest({list(_TARGETS)})::BIGINT AS target FROM post),
 f AS (SELECT t.term, t.target, min(doc_id) AS doc_id FROM t JOIN post ON post.term = t.term AND doc_id >= target GROUP BY ALL)
 SELECT t.term, t.target, coalesce(f.doc_id, -1) AS doc_id, coalesce(post.tf, -1)::INT AS tf FROM t LEFT JOIN f USING (term, target) LEFT JOIN post ON post.term = f.term AND post.doc_id = f.doc_id"""
-)
-def first_posting_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.postings(documents(spark, sf_dir))
-    found = ix.first_at_least(rows, rows.select("term").distinct().withColumn("target", F.explode(F.array(*[F.lit(t).cast("long") for t in _TARGETS]))))
+
+
+def _sought(seek, rows: DataFrame) -> DataFrame:
+    found = seek(rows, rows.select("term").distinct().withColumn("target", F.explode(F.array(*[F.lit(t).cast("long") for t in _TARGETS]))))
     return found.select("term", "target", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("tf", F.lit(-1)).alias("tf"))
 
 
+@registered(_SEEK)
+def first_posting_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sought(ix.first_at_least, ix.postings(documents(spark, sf_dir)))
+
+
+@registered(_SEEK)
+def posting_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_posting_from by the blocks of posting lists."""
+    return _sought(ix.seek, cut_lineage(ix.posting_lists(ix.postings(documents(spark, sf_dir)))))
+
+
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, pos::INT AS pos, {_vb('delta')}::INT AS delta_bytes, {_vb('tf')}::INT AS tf_bytes, delta AS decoded FROM placed")
 def varbyte_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ix.posting_deltas(ix.postings(documents(spark, sf_dir)))
@@ -431,6 +439,15 @@ def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.search_batch(_saved(spark, sf_dir), benchmark_queries(spark, sf_dir))
 
 
+@registered(
+    f"""{_WALK}, {_PLACED}, {_BLOCKS}, held AS (SELECT segment, max(total)::BIGINT AS n FROM walk GROUP BY segment), terms AS (SELECT segment, count(DISTINCT term) AS n FROM walk JOIN post USING (doc_id) GROUP BY segment)
+SELECT (SELECT count(*) FROM documents) AS docs_processed, sum(n_postings)::BIGINT AS total_postings, count(*) FILTER (block = 0) AS final_terms, sum(doc_id_size + freq_size)::BIGINT AS final_index_bytes,
+ (SELECT count(*) FROM held) AS spill_count, (SELECT max(n) FROM held) AS peak_partial_postings, (SELECT max(n) FROM terms) AS peak_unique_terms FROM blk"""
+)
+def saved_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.saved_stats(_saved(spark, sf_dir), 50_000)
+
+
 @registered(
     f"""WITH {_POST}, {_PLACED}, {_BLOCKS}, t AS (SELECT term, sum(n_postings)::BIGINT AS df, sum(doc_id_size + freq_size)::BIGINT AS bytes_size FROM blk GROUP BY term)
 SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, coalesce(sum(bytes_size) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_position, bytes_size, round({_IDF}, 9) AS idf FROM t, st"""

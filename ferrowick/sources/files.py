@@ -63,6 +63,12 @@ def read_ranked_run(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("written", "doc_id")).alias("rank"))
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """(term, term_id, df, start_position, bytes_size) of a lexicon as text: lines of these five fields between blanks; other lines are skipped."""
+    f = F.col("f")
+    return _fields(spark, path, 5).select(f[0].alias("term"), *[f[i].cast("long").alias(name) for i, name in enumerate(("term_id", "df", "start_position", "bytes_size"), 1)])
+
+
 def read_latency(spark: SparkSession, folder: str) -> DataFrame:
     """(source, threads, qps, p50_us, p95_us, p99_us) of latency_t*.csv; files named latency_t<number>.csv are preferred if there are any."""
     paths = sorted(glob.glob(os.path.join(folder, "latency_t*.csv")))
