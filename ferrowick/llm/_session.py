@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrowick.operators.lineage import cut_lineage, delete, delete_at_end, shared_folder
+from ferrowick.operators.lineage import cut_lineage, delete, delete_at_end, shared_folder, written
 
-__all__ = ["bounded", "cut_lineage", "delete", "delete_at_end", "hash_share", "labelled", "shared_folder"]
+__all__ = ["bounded", "cut_lineage", "delete", "delete_at_end", "hash_share", "labelled", "shared_folder", "written"]
 
 
 def hash_share(key: str | Column, share: float, salt: int = 0) -> Column:

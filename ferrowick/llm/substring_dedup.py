@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrowick.llm import _text as tx
-from ferrowick.llm._session import cut_lineage
+from ferrowick.llm._session import written
 
 MIN_WORDS, ANCHOR = 50, 32
 MAX_CLASSES, SHARD_WORDS = 1_000, 400_000
@@ -318,21 +318,21 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kinds = f"anchor long, whole long, id {kind}, tag int, start int, end int, n int"
     ids = own.mapInArrow(_anchors_of, f"anchor long, id {kind}").groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(ids.where("lo <> hi").select("anchor")))  # FILTER_BITS
-    rows = cut_lineage(own.mapInArrow(_anchored(bits), kinds).withColumn("pick", F.xxhash64("id", "tag", "start")))
+    rows = written(own.mapInArrow(_anchored(bits), kinds).withColumn("pick", F.xxhash64("id", "tag", "start")))
     classes = rows.groupBy("anchor", "whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("pick").alias("least"))
     # what the filter lets through by chance ends here
     held = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi")).where("all_lo <> all_hi").select("anchor", "classes")
     classes = classes.join(held, "anchor").select("anchor", "whole", (F.col("lo") != F.col("hi")).alias("many"), "least", "classes")
     # a window in many documents stands for itself once, the rest for their documents
     found = rows.join(classes, ["anchor", "whole"]).withColumn("first", F.col("pick") == F.col("least"))
-    found = cut_lineage(found.select("anchor", "id", "tag", "start", "end", "n", "many", "first", "classes"))
+    found = written(found.select("anchor", "id", "tag", "start", "end", "n", "many", "first", "classes"))
     whole = found.where(F.col("many") & (F.col("n") >= MIN_WORDS)).select("id", "tag", "start", "end")
     asked = found.where((F.col("classes") > 1) & (~F.col("many") | F.col("first")))
     shards = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // shard_words))
     wanted = asked.groupBy("id", "tag").agg(F.collect_set(F.struct("anchor", "start", "end", "many", "classes")).alias("windows"))
     cut = own.join(wanted, ["id", "tag"]).select("id", "tag", F.encode("text", "UTF-8").alias("bytes"), F.explode("windows").alias("w"))
     # windows begin and end at the bounds of words, so the bytes cut out are whole characters
-    windows = cut_lineage(cut.select("id", "tag", "w.anchor", "w.start", "w.many", "w.classes", F.decode(F.expr("substring(bytes, w.start + 1, w.end - w.start)"), "UTF-8").alias("text")))
+    windows = written(cut.select("id", "tag", "w.anchor", "w.start", "w.many", "w.classes", F.decode(F.expr("substring(bytes, w.start + 1, w.end - w.start)"), "UTF-8").alias("text")))
     usual = windows.where(F.col("classes") <= max_classes).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "id", "tag", F.xxhash64("id").alias("doc"), "start", "many", "text")
     by_index = usual.groupBy("shard").applyInArrow(_shard, f"id {kind}, tag int, start int, end int")
     each = windows.where(F.col("classes") > max_classes).select("id", "tag", "start", "many", "text").mapInArrow(_crowded, f"run long, id {kind}, tag int, start int, end int, many boolean")
