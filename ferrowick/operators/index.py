@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ferrowick.functions import bm25, codec
 from ferrowick.functions.text import tokenize
-from ferrowick.operators.lineage import cut_lineage, delete, exists
+from ferrowick.operators.lineage import delete, exists, written
 from ferrowick.operators.ranges import running, running_before
 
 POSTINGS_PER_BLOCK = 128
@@ -275,7 +275,7 @@ def _index_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     names = terms.select("term").distinct().withColumn("known_", F.lit(True))
     names = F.broadcast(names) if names.count() <= MOST_TERMS else names  # counted
     each = each.join(names, "term", "left").where("term is null or known_")
-    rows = cut_lineage(each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    rows = written(each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
     n = F.coalesce(F.sum("tf"), F.lit(0))
     stats = rows.where("term is null").agg(n.alias("n"), F.coalesce(F.sum(F.col("tf") * F.col("dl").cast("long")), F.lit(0)).alias("total_dl")).select("n", "total_dl", F.when(F.col("n") > 0, F.col("total_dl") / F.col("n")).otherwise(0.0).alias("avgdl"))
     kept = rows.where("term is not null")
@@ -291,7 +291,7 @@ def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
 def saved_stats(index: Index, spill_threshold: int) -> DataFrame:
     """build_stats of a saved index, and what a build that spills at ``spill_threshold`` postings would hold at most: spill_count, peak_partial_postings, peak_unique_terms."""
     found = sizes(index.blocks).select(F.col("n_postings").alias("total_postings"), F.col("n_terms").alias("final_terms"), F.col("index_bytes").alias("final_index_bytes"))
-    placed = cut_lineage(spill_of_documents(index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), spill_threshold))
+    placed = written(spill_of_documents(index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), spill_threshold))
     counts = placed.groupBy("segment").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("spill_count"), F.coalesce(F.max("n"), F.lit(0)).alias("peak_partial_postings"))
     terms = index.postings.join(placed.select("doc_id", "segment"), "doc_id").select("segment", "term").distinct().groupBy("segment").agg(F.count(F.lit(1)).alias("terms"))
     peak = terms.agg(F.coalesce(F.max("terms"), F.lit(0)).alias("peak_unique_terms"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrowick.operators.lineage import cut_lineage
+from ferrowick.operators.lineage import written
 
 
 def running(df: DataFrame, order: list[str], *, group: list[str] | None = None, sums: Mapping[str, Column] | None = None, before: Mapping[str, str] | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def running(df: DataFrame, order: list[str], *, group: list[str] | None = None,
     # the number is part of what is written: a plan evaluated twice could cut its ranges elsewhere
     cut = df.withColumns({f"{n}_own_": v for n, v in sums.items()}).repartitionByRange(*group, *order).withColumn("part_", F.spark_partition_id())
     columns = {n: F.coalesce(F.sum(f"{n}_own_").over(upto), F.lit(0)) for n in sums} | {n: F.lag(c).over(own) for n, c in before.items()}
-    held = cut_lineage(cut.withColumns(columns))
+    held = written(cut.withColumns(columns))
     some = held
     if group:
         ends = held.groupBy("part_").agg(F.min(F.struct(*group)).alias("a"), F.max(F.struct(*group)).alias("z"))
