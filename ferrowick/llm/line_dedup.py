@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrowick.llm._session import cut_lineage
+from ferrowick.llm._session import written
 
 MAX_DOCS = 20
 
@@ -37,7 +37,7 @@ def _lost(base: DataFrame, max_docs: int, keep_first: bool) -> DataFrame:
     """(fw_id, fw_hash, lost): the positions, from 0, of the lines that each text loses, rising, from (fw_id, fw_hash, fw_text)."""
     each = base.where("fw_id is not null and fw_text is not null").select("fw_id", "fw_hash", F.posexplode(F.split(_evened(F.col("fw_text")), "\n")).alias("pos", "line")).select("fw_id", "fw_hash", "pos", F.trim("line").alias("line")).where("line <> ''")
     # two independent hashes of a line
-    lines = cut_lineage(each.select("fw_id", "fw_hash", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b")))
+    lines = written(each.select("fw_id", "fw_hash", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b")))
     frequent = lines.groupBy("a", "b").agg(F.count_distinct("fw_id").alias("n"), F.min("fw_id").alias("first")).where(F.col("n") > max_docs)
     found = lines.join(frequent.select("a", "b", "first"), ["a", "b"])
     if keep_first:
