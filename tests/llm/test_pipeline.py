@@ -105,9 +105,20 @@ def test_stages_keep_the_columns_but_the_last(spark, corpus):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "byte-level BPE"]
 
 
-def test_decontamination_query_is_all_pairs(spark, corpus):
-    """All distances; the edit distance itself is held against the matrix elsewhere."""
-    folder, table, items = corpus
+def edited(rng, text, n):
+    """text with n edits: characters replaced, left out or put in."""
+    for _ in range(n):
+        at = rng.randrange(len(text))
+        text = text[:at] + rng.choice(["#", "", "#" + text[at]]) + text[at + 1 :]
+    return text
+
+
+def test_decontamination_query_is_all_pairs(spark, corpus, tmp_path):
+    """All distances, within an item's budget and beyond it; the edit distance itself is held against the matrix elsewhere."""
+    rng, folder, (given, table, items) = random.Random(22), str(tmp_path), corpus
+    table = table + [(600 + 20 * k + n, f"{sentence(rng, 20)}\n{edited(rng, item, n)} {sentence(rng, 20)}") for k, item in items for n in range(12)]
+    docs(spark, table).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{given}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     n, expected = decontaminate.normalised, []
     for i, text in table:
         for k, item in items:
@@ -115,6 +126,7 @@ def test_decontamination_query_is_all_pairs(spark, corpus):
             if d <= int(decontaminate.RATE * len(n(item))):
                 expected.append((i, k, d))
     assert len({d for *_, d in expected}) > 1
+    assert len({(i, k) for i, k, _ in expected if i is not None and i >= 600}) < 12 * len(items)  # some are beyond it
     assert rows(__spark_entry__.queries()["op3_decontamination"](spark, folder), "doc_id", "item_id", "distance") == sorted(expected, key=repr)
 
 
