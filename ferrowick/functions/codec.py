@@ -24,25 +24,44 @@ def encoded_length(v: Column, codec: str) -> Column:
     return varbyte_length(v) if checked_codec(codec) == "varbyte" else F.lit(4)
 
 
+def _shifted(v: Column, bits: int) -> Column:
+    return F.shiftright(v, bits) if bits >= 0 else F.shiftleft(v, -bits)
+
+
+def _sum(parts: list[Column]) -> Column:
+    return reduce(Column.__add__, parts)
+
+
+def _swapped(v: Column) -> Column:
+    """A number of 32 bits with its bytes turned round."""
+    return _sum([_shifted(_shifted(v, 8 * i).bitwiseAND(F.lit(255)), 8 * i - 24) for i in range(4)])
+
+
 def encode(v: Column, codec: str = "varbyte") -> Column:
     """A number from 0 to 2**32 - 1 as BINARY."""
     v = v.cast("long")
     if checked_codec(codec) == "raw32":
-        digits = F.lpad(F.hex(v), 8, "0")
-        return F.unhex(F.concat(*[digits.substr(i, 2) for i in (7, 5, 3, 1)]))
-    last = varbyte_length(v) - 1
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(F.expr("0L") + _group(v, i).bitwiseOR(F.when(i < last, F.lit(128)).otherwise(F.lit(0)))), 2, "0")), ""))
-
-
-def _group(v: Column, i: Column) -> Column:
-    """Bits 7i to 7i + 6."""
-    return F.floor(v / F.pow(F.lit(128.0), i)).cast("long").bitwiseAND(F.lit(127))
+        return F.unhex(F.lpad(F.hex(_swapped(v)), 8, "0"))
+    # the bytes as digits of one number, all but the last with the bit that says that more follow
+    size = varbyte_length(v)
+    whole = F.lit(None)
+    for n in range(1, 6):
+        digits = _sum([_shifted(_shifted(v, 7 * i).bitwiseAND(F.lit(127)) + F.lit(128 if i < n - 1 else 0).cast("long"), -8 * (n - 1 - i)) for i in range(n)])
+        whole = F.when(size == n, F.lpad(F.hex(digits), 2 * n, "0")).otherwise(whole)
+    return F.unhex(whole)
 
 
 def decode(data: Column, codec: str = "varbyte") -> Column:
     """The number that ``data`` encodes; an error for what was cut short, goes on or exceeds 35 bits."""
-    pairs = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.struct(i.alias("i"), F.conv(F.hex(data.substr(i + 1, F.lit(1))), 16, 10).cast("long").alias("b")))
-    if checked_codec(codec) == "raw32":
-        return F.when(F.octet_length(data) == 4, F.aggregate(pairs, F.lit(0).cast("long"), lambda n, p: n + p["b"] * F.pow(F.lit(256.0), p["i"]).cast("long"))).otherwise(F.raise_error(F.lit("four bytes expected")).cast("long"))
-    whole = (F.octet_length(data) > 0) & (F.octet_length(data) <= 5) & F.forall(pairs, lambda p: (p["b"] >= 128) == (p["i"] < F.octet_length(data) - 1))
-    return F.when(whole, F.aggregate(pairs, F.lit(0).cast("long"), lambda n, p: n + p["b"].bitwiseAND(F.lit(127)) * F.pow(F.lit(128.0), p["i"]).cast("long"))).otherwise(F.raise_error(F.lit("not one VarByte number")).cast("long"))
+    raw = checked_codec(codec) == "raw32"
+    most = 4 if raw else 5
+    # one number of all digits, zeros after the last
+    number = F.conv(F.rpad(F.hex(data), 2 * most, "0"), 16, 10).cast("long")
+    size = F.octet_length(data)
+    if raw:
+        return F.when(size == 4, F.lit(0).cast("long")).otherwise(F.raise_error(F.lit("four bytes expected")).cast("long")) + _swapped(number)
+    more = number.bitwiseAND(F.lit(0x8080808080))
+    expected = F.element_at(F.array(*[F.lit(sum(0x80 << 8 * (4 - i) for i in range(n - 1))).cast("long") for n in range(1, 6)]), F.least(F.greatest(size, F.lit(1)), F.lit(5)))
+    whole = (size > 0) & (size <= 5) & (more == expected)
+    value = _sum([_shifted(_shifted(number, 32 - 8 * i).bitwiseAND(F.lit(127)), -7 * i) for i in range(5)])
+    return F.when(whole, F.lit(0).cast("long")).otherwise(F.raise_error(F.lit("not one VarByte number")).cast("long")) + value
