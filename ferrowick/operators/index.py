@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrowick.functions import bm25, codec
-from ferrowick.functions.text import tokenize
+from ferrowick.operators import runs as ru
 from ferrowick.operators.lineage import delete, exists, written
 from ferrowick.operators.ranges import running, running_before
 
@@ -21,11 +21,13 @@ POSTINGS_PER_BLOCK = 128
 #: Terms of a batch up to which they are compared as a list within the scan, and up to which they are broadcast.
 FEW_TERMS, MOST_TERMS = 1_000, 1_000_000
 BLOCK_RECORD_BYTES = 20
+#: A posting that is summed takes more memory than its share of the text.
+MERGED_PER_PART = 4
 
 
 def doc_info(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, dl): tokens with repeated ones and stop words."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(tokenize(F.col(text_col))).alias("dl"))
+    return ru.lengths(docs, id_col, text_col)
 
 
 def corpus_stats(info: DataFrame) -> DataFrame:
@@ -35,36 +37,40 @@ def corpus_stats(info: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, dl, tf)."""
-    tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokenize(F.col(text_col)).alias("tokens"))
-    # for an inner explode the optimizer would ask for the array's size first, by tokenising every text a second time
-    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
-    return each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return ru.counted(docs, id_col, text_col)
+
+
+def posting_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, first, ids, dls, tfs): postings by term and chunk of documents, a row for each instead of one for each posting."""
+    return ru.posting_runs(docs, id_col, text_col)
 
 
 def merge_postings(parts: DataFrame) -> DataFrame:
     """Postings of several builds: frequencies of the same term and document are added."""
-    return parts.groupBy("term", "doc_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
+    # brought together by document, in partitions in proportion to the table: what a task sums up doesn't grow with it
+    together = parts.repartition(MERGED_PER_PART * ru.parts(parts), "doc_id")
+    return together.groupBy("term", "doc_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def posting_lists(rows: DataFrame, per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
-    """(term, block, n, postings): arrays in the order of doc_id, of ``per_block`` postings at most, so that no term's list has to fit in a row."""
+    """(term, block, n, postings) of postings or their runs: arrays in the order of doc_id, of ``per_block`` postings at most, so that no term's list has to fit in a row."""
     if per_block <= 0:
         raise ValueError("per_block must be above 0")
-    placed = posting_deltas(rows).select("term", F.floor((F.col("pos") - 1) / per_block).cast("int").alias("block"), "doc_id", "tf")
-    return placed.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+    return ru.lists_of(ru.as_runs(rows), per_block)
 
 
 def posting_deltas(rows: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, pos, delta): distance to the term's document before, the first one absolute; it goes on across blocks."""
-    placed = running(rows.select("term", "doc_id", "tf"), ["doc_id"], group=["term"], sums={"pos": F.lit(1)}, before={"last": "doc_id"})
-    return placed.select("term", "doc_id", "tf", (F.col("pos") + 1).cast("int").alias("pos"), (F.col("doc_id") - F.coalesce("last", F.lit(0))).alias("delta"))
+    """(term, doc_id, tf, pos, delta) of postings or their runs: distance to the term's document before, the first one absolute; it goes on across blocks."""
+    return ru.deltas_of(ru.as_runs(rows))
 
 
 def undelta(rows: DataFrame) -> DataFrame:
     """(term, doc_id, tf, pos) from (term, pos, delta, tf); an error for ids that don't rise and sums beyond 2**63 - 1."""
     # the first distance may be 0, none after it
     checked = F.when((F.col("delta") > 0) | ((F.col("pos") == 1) & (F.col("delta") == 0)), F.col("delta")).otherwise(F.raise_error(F.lit("document ids don't rise")).cast("long"))
-    summed = running(rows.select("term", "pos", "delta", "tf"), ["pos"], group=["term"], sums={"before": checked})
+    upto = Window.partitionBy("term").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    together = rows.select("term", "pos", "delta", "tf", checked.alias("checked_")).repartition(ru.parts(rows), "term")  # a term has a posting for each document at most
+    summed = together.withColumn("before", F.coalesce(F.sum("checked_").over(upto), F.lit(0)))
     total = F.col("before") + F.col("delta")
     return summed.select("term", F.when(total >= F.col("before"), total).otherwise(F.raise_error(F.lit("a document id is too large")).cast("long")).alias("doc_id"), "tf", "pos")
 
@@ -90,20 +96,11 @@ def seek(lists: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
 
 
-def blocks_of(placed: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
-    """(term, block, last_doc_id, n_postings, doc_id_size, freq_size): runs of ``per_block`` postings of a term and their encoded sizes, from posting_deltas."""
-    if per_block <= 0:
-        raise ValueError("per_block must be above 0")
-    size = lambda c: F.sum(codec.encoded_length(F.col(c), codec_name)).cast("long")
-    placed = placed.withColumn("block", F.floor((F.col("pos") - 1) / per_block).cast("int"))
-    return placed.groupBy("term", "block").agg(F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("n_postings"), size("delta").alias("doc_id_size"), size("tf").alias("freq_size"))
-
-
 def blocks(rows: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
-    """blocks_of the postings."""
+    """(term, block, last_doc_id, n_postings, doc_id_size, freq_size) of postings or their runs: ``per_block`` postings of a term at a time and their encoded sizes."""
     if per_block <= 0:
         raise ValueError("per_block must be above 0")
-    return blocks_of(posting_deltas(rows), codec_name, per_block)
+    return ru.blocks_of_runs(ru.as_runs(rows), (codec.checked_codec(codec_name),), per_block)
 
 
 def block_offsets(block_rows: DataFrame) -> DataFrame:
@@ -166,8 +163,9 @@ def spill_segments(per_doc: DataFrame, threshold: int) -> DataFrame:
 
 
 def term_weights(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf) of postings; stats: one row."""
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats.select("n")).select("term", "df", bm25.idf(F.col("n"), F.col("df")).alias("idf"))
+    """(term, df, idf) of postings or their runs; stats: one row."""
+    df = F.sum(F.size("ids")) if "ids" in rows.columns else F.count(F.lit(1))
+    return rows.groupBy("term").agg(df.alias("df")).crossJoin(stats.select("n")).select("term", "df", bm25.idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -190,6 +188,8 @@ class Index:
     buckets: int = 0
     blocks: DataFrame | None = None
     docinfo: DataFrame | None = None
+    #: The postings by term and chunk of documents, if they come of texts.
+    runs: DataFrame | None = None
 
     def save(self, path: str, buckets: int = 64, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> None:
         """Write the postings with their blocks and byte offsets, the lexicon with term ids and positions, document information and statistics.
@@ -198,12 +198,13 @@ class Index:
         folders and row groups. A term of any length is cut into ranges. The description is written last; what a failure leaves is removed."""
         spark = self.postings.sparkSession
         try:
-            self.stats.write.mode("overwrite").parquet(f"{path}/stats")
             info = self.docinfo if self.docinfo is not None or self.docs is None else doc_info(self.docs)
             (self.postings.select("doc_id", "dl").distinct() if info is None else info).write.mode("overwrite").parquet(f"{path}/docinfo")
-            self._laid(self.postings, buckets).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
             # counted from what is written, not from the texts again
-            block_rows = blocks(spark.read.parquet(f"{path}/postings"), codec_name, per_block)
+            (self.stats if info is None else corpus_stats(spark.read.parquet(f"{path}/docinfo"))).write.mode("overwrite").parquet(f"{path}/stats")
+            runs = written(self.runs) if self.runs is not None else None
+            self._laid(self.postings if runs is None else runs, buckets).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
+            block_rows = blocks(spark.read.parquet(f"{path}/postings") if runs is None else runs, codec_name, per_block)
             block_offsets(block_rows).write.mode("overwrite").parquet(f"{path}/blocks")
             terms = lexicon(spark.read.parquet(f"{path}/blocks")).crossJoin(spark.read.parquet(f"{path}/stats").select("n"))
             terms = terms.withColumn("idf", bm25.idf(F.col("n"), F.col("df"))).drop("n")
@@ -216,6 +217,9 @@ class Index:
 
     @staticmethod
     def _laid(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+        if "ids" in rows.columns:  # runs are moved, not their postings, which come out in order
+            placed = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange(ru.parts(rows), "bucket", "term", "first")
+            return ru.flattened(placed.sortWithinPartitions("bucket", "term", "first"), "bucket").sortWithinPartitions("bucket", "term", "doc_id")
         order = order or ("term", "doc_id")
         return rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
 
@@ -265,17 +269,19 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
     rows = postings(docs, id_col=id_col, text_col=text_col)
     info = doc_info(docs, id_col=id_col, text_col=text_col)
     stats = corpus_stats(info)
-    return Index(rows, term_weights(rows, stats), stats, docs, docinfo=info)
+    runs = posting_runs(docs, id_col=id_col, text_col=text_col)
+    return Index(rows, term_weights(runs, stats), stats, docs, docinfo=info, runs=runs)
 
 
 def _index_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> Index:
-    tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokenize(F.col(text_col)).alias("tokens"))
     # each document has a row without term beside its tokens', so that lengths and postings come of one pass
-    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    names = terms.select("term").distinct().withColumn("known_", F.lit(True))
-    names = F.broadcast(names) if names.count() <= MOST_TERMS else names  # counted
-    each = each.join(names, "term", "left").where("term is null or known_")
-    rows = written(each.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    names = terms.select("term").distinct()
+    if names.count() <= MOST_TERMS:  # counted
+        shared = docs.sparkSession.sparkContext.broadcast(names.toArrow()["term"].combine_chunks())
+        rows = ru.counted(docs, id_col, text_col, lambda: shared.value, with_lengths=True)
+    else:
+        rows = ru.counted(docs, id_col, text_col, with_lengths=True).join(names.withColumn("known_", F.lit(True)), "term", "left").where("term is null or known_").drop("known_")
+    rows = written(rows)
     n = F.coalesce(F.sum("tf"), F.lit(0))
     stats = rows.where("term is null").agg(n.alias("n"), F.coalesce(F.sum(F.col("tf") * F.col("dl").cast("long")), F.lit(0)).alias("total_dl")).select("n", "total_dl", F.when(F.col("n") > 0, F.col("total_dl") / F.col("n")).otherwise(0.0).alias("avgdl"))
     kept = rows.where("term is not null")
@@ -284,7 +290,7 @@ def _index_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
 
 def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
     """One row: docs_processed, total_postings, final_terms, final_index_bytes."""
-    found = sizes(blocks(postings(docs), codec_name))
+    found = sizes(blocks(posting_runs(docs), codec_name))
     return docs.agg(F.count(F.lit(1)).alias("docs_processed")).crossJoin(found.select(F.col("n_postings").alias("total_postings"), F.col("n_terms").alias("final_terms"), F.col("index_bytes").alias("final_index_bytes")))
 
 

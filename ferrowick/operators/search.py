@@ -2,7 +2,7 @@
 
 The terms of a batch are looked up first: only their postings are read, by the buckets and row groups that they lie in. Those
 postings are brought together by document, once, however many queries want them; each task then scores every query
-of the batch over its own documents and gives no more than the k best of each. So what is shuffled are postings of the batch's
+of the batch over its own documents, a chunk of them at a time, and gives no more than the k best of each. So what is shuffled are postings of the batch's
 terms and k rows a query and task, never a row for each query, token and document.
 
 A batch reaches the tasks by broadcast, at most ``BATCH_TOKENS`` tokens of it at a time: more queries take more passes.
@@ -28,11 +28,14 @@ from ferrowick.functions.bm25 import K1, B
 from ferrowick.functions.text import passage, query_tokens
 from ferrowick.operators.index import Index, build_index
 from ferrowick.operators.lineage import cut_lineage
+from ferrowick.operators.runs import parts as partitions
 
 MOST = 100_000
 BATCH_TOKENS = 200_000
 #: Results up to which their documents are looked up by a broadcast of the ids.
 FEW_RESULTS = 1_000_000
+#: Postings that a task scores at a time, and results that it holds.
+CHUNK_POSTINGS, HELD_RESULTS = 1 << 18, 4_000_000
 #: Scores that round to nine digits alike differ by less.
 _CLOSE = 2e-9
 
@@ -49,6 +52,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.posexplode(query_tokens(F.col("query")))).select("qid", "pos", F.col("col").alias("term"))
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best and of those whose scores are close to theirs."""
+    found = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - _CLOSE)
+    if len(found) > k:  # of equal scores the k least ids suffice
+        found = found[np.lexsort((ids[found], -scores[found]))]
+        first = np.append(True, np.diff(scores[found]) != 0)
+        run = np.arange(len(found)) - np.maximum.accumulate(np.where(first, np.arange(len(found)), 0))
+        found = found[run < k]
+    return found
+
+
 @dataclass
 class Batch:
     """Queries as codes of terms in the order of their tokens, for a broadcast; of tokens that the index knows."""
@@ -76,13 +90,7 @@ class Batch:
                 np.add.at(matched, at[own], 1)
             found = np.flatnonzero(matched == len(codes) if conjunctive else matched)
             if k is not None and len(found) > k:
-                s = total[found]
-                found = found[s >= np.partition(s, len(s) - k)[len(s) - k] - _CLOSE]
-                if len(found) > k:  # of equal scores the k least ids suffice
-                    found = found[np.lexsort((found, -total[found]))]
-                    first = np.append(True, np.diff(total[found]) != 0)
-                    run = np.arange(len(found)) - np.maximum.accumulate(np.where(first, np.arange(len(found)), 0))
-                    found = found[run < k]
+                found = found[_best(ids[found], total[found], k)]
             if len(found):
                 yield q, ids[found], total[found]
 
@@ -110,6 +118,50 @@ def _batches(index: Index, terms: DataFrame) -> Iterator[tuple[list[str], Broadc
         yield list(known), spark.sparkContext.broadcast(batch)
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Postings in the order of doc_id, CHUNK_POSTINGS at a time, twice that at most, or as many as one document has: a document's are together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        for at in range(0, b.num_rows, CHUNK_POSTINGS):
+            part = b.slice(at, CHUNK_POSTINGS)
+            ids = part["doc_id"].to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last document may go on
+            if held and n + cut > CHUNK_POSTINGS and held[-1]["doc_id"][-1].as_py() != ids[0]:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            if n + cut >= CHUNK_POSTINGS and cut:
+                yield pa.Table.from_batches([*held, part.slice(0, cut)])
+                held, n, part = [], 0, part.slice(cut)
+            held.append(part)
+            n += part.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def best_of(batch: Batch, tables: Iterator[pa.Table], k: int | None, conjunctive: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Batch.score of tables of different documents; with k the best of all of them together, unless that is more than HELD_RESULTS."""
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held = 0
+    for table in tables:
+        for q, ids, scores in batch.score(table, k, conjunctive):
+            if k is None:
+                yield q, ids, scores
+                continue
+            if q in best:
+                held -= len(best[q][0])
+                ids, scores = np.append(best[q][0], ids), np.append(best[q][1], scores)
+                if len(ids) > k:
+                    kept = _best(ids, scores, k)
+                    ids, scores = ids[kept], scores[kept]
+            best[q] = ids, scores
+            held += len(ids)
+        if held > HELD_RESULTS:
+            yield from ((q, *found) for q, found in best.items())
+            best, held = {}, 0
+    yield from ((q, *found) for q, found in best.items())
+
+
 def scored(index: Index, terms: DataFrame, *, k: int | None = None, conjunctive: bool = False) -> DataFrame:
     """(qid, doc_id, score) for query tokens (qid, pos, term): any token matches, or with ``conjunctive`` every one that the lexicon knows. With k no more than the k best of a task's documents, and those close to them."""
     kind = terms.schema["qid"].dataType.simpleString()
@@ -119,13 +171,11 @@ def scored(index: Index, terms: DataFrame, *, k: int | None = None, conjunctive:
     for wanted, shared in _batches(index, terms):
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if held:
-                for q, ids, scores in shared.value.score(pa.Table.from_batches(held), k, conjunctive):
-                    yield pa.RecordBatch.from_arrays([shared.value.qids.take(pa.array(np.full(len(ids), q))), pa.array(ids), pa.array(scores)], names)
+            for q, ids, scores in best_of(shared.value, _documents(batches), k, conjunctive):
+                yield pa.RecordBatch.from_arrays([shared.value.qids.take(pa.array(np.full(len(ids), q))), pa.array(ids), pa.array(scores)], names)
 
         own = index.postings_of(wanted).select("term", "doc_id", "dl", "tf")
-        parts.append(own.repartition("doc_id").mapInArrow(run, schema))
+        parts.append(own.repartition(partitions(own), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema))
     return reduce(DataFrame.union, parts) if parts else terms.sparkSession.createDataFrame([], schema)
 
 
