@@ -130,16 +130,76 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with at most CHUNK_BYTES of text together, one row at least."""
+    for b in batches:
+        upto, at = np.cumsum(_sizes(b.column(1))), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+class Passages:
+    """Items of KEY + 2 tokens or more, found in texts by their tokens from the second on, which any text that holds an item has, then compared whole."""
+
+    KEY = 5
+
+    def __init__(self, items: pa.Table) -> None:
+        self.qids, self.items = items["qid"].combine_chunks(), items["item"].to_pylist()
+        found, n = tokens(items["item"].combine_chunks())
+        first = np.cumsum(n) - n + 1
+        own = (first[:, None] + np.arange(self.KEY)).ravel()
+        key = found.take(pa.array(own))
+        self.known = pc.unique(key)
+        hashed = self._hash(pc.index_in(key, self.known).to_numpy().astype(np.int64), np.arange(0, len(own), self.KEY))
+        self.order = np.argsort(hashed, kind="stable")
+        self.hashed = hashed[self.order]
+
+    def _hash(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for i in range(self.KEY):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + code[at + i].astype(np.uint64) + np.uint64(1)
+        return h
+
+    def held(self, text: pa.Array) -> Iterator[tuple[int, int]]:
+        """(row, item) of each item that a text holds."""
+        found, dl = tokens(text)
+        n = len(found) - self.KEY + 1
+        if n < 1 or not len(self.items):
+            return
+        code = pc.index_in(found, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known, row = code >= 0, np.repeat(np.arange(len(dl)), dl)
+        at = np.flatnonzero(np.logical_and.reduce([known[i : i + n] for i in range(self.KEY)]) & (row[:n] == row[self.KEY - 1 :]))
+        h = self._hash(code, at)
+        a, z = np.searchsorted(self.hashed, h, "left"), np.searchsorted(self.hashed, h, "right")
+        hit = np.flatnonzero(z > a)
+        for r, f, e in sorted(set(zip(row[at[hit]].tolist(), a[hit].tolist(), z[hit].tolist(), strict=True))):
+            whole = text[r].as_py()
+            yield from ((r, i) for i in self.order[f:e].tolist() if self.items[i] in whole)
+
+
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, doc_id): which documents (doc_id, text) hold which items (qid, item) of seven tokens or more; the items fit a broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(items.toArrow())
+    kind = items.schema["qid"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(shared.value)
+        for part in _text_slices(batches):
+            if hits := list(passages.held(part.column(1))):
+                rows, found = (pa.array(x, pa.int64()) for x in zip(*hits, strict=True))
+                yield pa.RecordBatch.from_arrays([passages.qids.take(found), part.column(0).take(rows)], ["qid", "doc_id"])
+
+    return _texts(docs, "doc_id", "text").mapInArrow(find, f"qid {kind}, doc_id long")
+
+
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, dl), where the texts are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            upto, at = np.cumsum(_sizes(b.column(1))), 0
-            while at < b.num_rows:
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_BYTES, "right")))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(tokens(b.column(1).slice(at, end - at))[1].astype(np.int32))], ["doc_id", "dl"])
-                at = end
+        for part in _text_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens(part.column(1))[1].astype(np.int32))], ["doc_id", "dl"])
 
     return _texts(docs, id_col, text_col).mapInArrow(count, "doc_id long, dl int")
 

@@ -54,23 +54,14 @@ def literal_queries(spark: SparkSession, *queries: str) -> DataFrame:
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, doc_id, rel): documents that hold a benchmark text. Found by the tokens two to six of the text, which any text that holds it has too, then compared whole. The few texts of under seven tokens have no such key and are compared with every document."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    key = lambda tokens, i: F.array_join(F.slice(tokens, i, 5), " ")
-    counted = items.select("*", tokenize(F.col("item")).alias("t"))
-    keyed = counted.where("size(t) >= 7").select("qid", "item", key(F.col("t"), F.lit(2)).alias("key"))
-    keyed = F.broadcast(keyed) if items.count() <= FEW_ITEMS else keyed  # counted
-    tokens = documents(spark, sf_dir).select("doc_id", tokenize(F.col("text")).alias("t"))
-    places = F.when(F.size("t") >= 7, F.transform(F.sequence(F.lit(2), F.size("t") - 4), lambda i: key(F.col("t"), i)))
-    # an inner explode would be filtered by the array's size first, by tokenising every text a second time
-    runs = tokens.select("doc_id", F.explode_outer(places).alias("key")).where("key is not null")
-    pairs = runs.join(keyed, "key").select("doc_id", "qid", "item").distinct()
-    long = documents(spark, sf_dir).join(pairs, "doc_id").where(F.contains("text", "item")).select("qid", "doc_id")
-    few = counted.where("size(t) < 7")
-    blocks = max(1, -(-few.count() // FEW_ITEMS))
-    short = [documents(spark, sf_dir).join(F.broadcast(few.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)), F.contains("text", "item")).select("qid", "doc_id") for i in range(blocks)]  # FEW_ITEMS at a time
-    return reduce(DataFrame.union, short, long).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
-
-
-#: Items up to which their keys are broadcast.
+    counted = items.select("*", F.size(tokenize(F.col("item"))).alias("n"))
+    slices = lambda df: (df.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for n in [max(1, -(-df.count() // FEW_ITEMS))] for i in range(n))  # noqa: E731 FEW_ITEMS at a time
+    long = [ru.holders(documents(spark, sf_dir), part.select("qid", "item")) for part in slices(counted.where("n >= 7"))]
+    short = [documents(spark, sf_dir).join(F.broadcast(part), F.contains("text", "item")).select("qid", "doc_id") for part in slices(counted.where("n < 7"))]
+    return reduce(DataFrame.union, [*long, *short]).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
+
+
+#: Items that are broadcast together.
 FEW_ITEMS = 500_000
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 _TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda x: lower(x))"

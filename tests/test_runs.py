@@ -144,3 +144,18 @@ def test_codecs_are_compiled_expressions(spark, name):
     for r in out.collect():
         want = r.v.to_bytes(4, "little") if name == "raw32" else bytes([*((r.v >> 7 * i) & 127 | 128 for i in range((max(r.v.bit_length(), 1) - 1) // 7)), r.v >> (max(r.v.bit_length(), 1) - 1) // 7 * 7])
         assert (bytes(r.e), r.d) == (want, r.v)
+
+
+def test_texts_that_hold_an_item():
+    items = ["Alpha beta gamma delta epsilon zeta eta", "alpha beta gamma delta epsilon zeta etas", "one two three four five six seven eight", "beta gamma delta epsilon zeta eta one"]
+    found = ru.Passages(pa.table({"qid": list("abcd"), "item": items}))
+    texts = [None, "xAlpha beta gamma delta epsilon zeta etas", "beta gamma delta epsilon", "zeta eta", "one two three four five six seven eight; Alpha beta gamma delta epsilon zeta eta one", "", "beta, gamma delta epsilon zeta eta one"]
+    assert sorted(found.held(pa.array(texts))) == sorted((r, i) for r, t in enumerate(texts) for i, x in enumerate(items) if t and x in t)
+    assert list(ru.Passages(pa.table({"qid": pa.array([], pa.int64()), "item": pa.array([], pa.string())})).held(pa.array(texts))) == []
+
+
+def test_judgements_take_no_row_for_each_token(spark):
+    from ferrowick.plans import queries as plans
+
+    plan = plans.judgements(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
