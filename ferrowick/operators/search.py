@@ -175,7 +175,7 @@ def scored(index: Index, terms: DataFrame, *, k: int | None = None, conjunctive:
                 yield pa.RecordBatch.from_arrays([shared.value.qids.take(pa.array(np.full(len(ids), q))), pa.array(ids), pa.array(scores)], names)
 
         own = index.postings_of(wanted).select("term", "doc_id", "dl", "tf")
-        parts.append(own.repartition(partitions(own), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema))
+        parts.append(own.repartition(4 * partitions(own), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema))
     return reduce(DataFrame.union, parts) if parts else terms.sparkSession.createDataFrame([], schema)
 
 
