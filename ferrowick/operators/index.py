@@ -45,6 +45,11 @@ def posting_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return ru.posting_runs(docs, id_col, text_col)
 
 
+def packed_postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> ru.Packed:
+    """posting_runs packed by the partition that a term belongs to: what posting_deltas, posting_lists and blocks take without a sort by term."""
+    return ru.packed_runs(docs, id_col, text_col)
+
+
 def merge_postings(parts: DataFrame) -> DataFrame:
     """Postings of several builds: frequencies of the same term and document are added."""
     # brought together by document, in partitions in proportion to the table: what a task sums up doesn't grow with it
@@ -52,27 +57,27 @@ def merge_postings(parts: DataFrame) -> DataFrame:
     return together.groupBy("term", "doc_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
 
 
-def posting_lists(rows: DataFrame, per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
+def posting_lists(rows: DataFrame | ru.Packed, per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
     """(term, block, n, postings) of postings or their runs: arrays in the order of doc_id, of ``per_block`` postings at most, so that no term's list has to fit in a row."""
     if per_block <= 0:
         raise ValueError("per_block must be above 0")
-    return ru.lists_of(ru.as_runs(rows), per_block)
+    return ru.packed_lists(rows, per_block) if isinstance(rows, ru.Packed) else ru.lists_of(ru.as_runs(rows), per_block)
 
 
-def posting_deltas(rows: DataFrame) -> DataFrame:
+def posting_deltas(rows: DataFrame | ru.Packed) -> DataFrame:
     """(term, doc_id, tf, pos, delta) of postings or their runs: distance to the term's document before, the first one absolute; it goes on across blocks."""
-    return ru.deltas_of(ru.as_runs(rows))
+    return ru.packed_deltas(rows) if isinstance(rows, ru.Packed) else ru.deltas_of(ru.as_runs(rows))
 
 
 def undelta(rows: DataFrame) -> DataFrame:
     """(term, doc_id, tf, pos) from (term, pos, delta, tf); an error for ids that don't rise and sums beyond 2**63 - 1."""
-    # the first distance may be 0, none after it
-    checked = F.when((F.col("delta") > 0) | ((F.col("pos") == 1) & (F.col("delta") == 0)), F.col("delta")).otherwise(F.raise_error(F.lit("document ids don't rise")).cast("long"))
-    upto = Window.partitionBy("term").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    together = rows.select("term", "pos", "delta", "tf", checked.alias("checked_")).repartition(ru.parts(rows), "term")  # a term has a posting for each document at most
-    summed = together.withColumn("before", F.coalesce(F.sum("checked_").over(upto), F.lit(0)))
-    total = F.col("before") + F.col("delta")
-    return summed.select("term", F.when(total >= F.col("before"), total).otherwise(F.raise_error(F.lit("a document id is too large")).cast("long")).alias("doc_id"), "tf", "pos")
+    together = rows.select("term", F.col("tf").cast("int").alias("tf"), F.col("pos").cast("int").alias("pos"), F.col("delta").cast("long").alias("delta"))
+    return ru.undeltas_of(together.repartition(ru.parts(rows), "term").sortWithinPartitions("term", "pos"))
+
+
+def delta_roundtrip(packed: ru.Packed) -> DataFrame:
+    """undelta of posting_deltas, summed up in the task that makes the distances: there a term's are in order already."""
+    return ru.packed_roundtrip(packed)
 
 
 def check_blocks(block_rows: DataFrame) -> DataFrame:
@@ -96,10 +101,12 @@ def seek(lists: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
 
 
-def blocks(rows: DataFrame, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
+def blocks(rows: DataFrame | ru.Packed, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
     """(term, block, last_doc_id, n_postings, doc_id_size, freq_size) of postings or their runs: ``per_block`` postings of a term at a time and their encoded sizes."""
     if per_block <= 0:
         raise ValueError("per_block must be above 0")
+    if isinstance(rows, ru.Packed):
+        return ru.packed_blocks(rows, codec.checked_codec(codec_name), per_block)
     return ru.blocks_of_runs(ru.as_runs(rows), (codec.checked_codec(codec_name),), per_block)
 
 
@@ -290,7 +297,7 @@ def _index_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
 
 def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
     """One row: docs_processed, total_postings, final_terms, final_index_bytes."""
-    found = sizes(blocks(posting_runs(docs), codec_name))
+    found = sizes(blocks(packed_postings(docs), codec_name))
     return docs.agg(F.count(F.lit(1)).alias("docs_processed")).crossJoin(found.select(F.col("n_postings").alias("total_postings"), F.col("n_terms").alias("final_terms"), F.col("index_bytes").alias("final_index_bytes")))
 
 

@@ -6,7 +6,9 @@ whatever the number of partitions. A run is what a chunk holds of one term: a ro
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +97,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
 
 
 class Counts:
-    """A chunk's frequencies. ids, dl and times: of each different (id, length), how many rows have it; terms, and for each posting its code, owner and tf."""
+    """A chunk's frequencies. ids, dl and times: of each different (id, length), how many rows have it; terms, in the order of their ``place`` if one is given, and for each posting its code, owner and tf."""
 
-    def __init__(self, ids: pa.Array, text: pa.Array, by_term: bool) -> None:
+    def __init__(self, ids: pa.Array, text: pa.Array, by_term: bool, place: Callable[[pa.Array], np.ndarray] | None = None) -> None:
         found, dl = tokens(text)
         named = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
         owner, first, self.times = np.arange(len(dl)), np.arange(len(dl)), np.ones(len(dl), np.int32)
@@ -108,6 +110,13 @@ class Counts:
         self.named, self.dl = named[first], dl[first].astype(np.int32)
         coded = found.dictionary_encode()
         self.terms, code, own = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64), np.repeat(owner, dl)
+        if place is not None:
+            self.part = place(self.terms)
+            sorted_ = np.argsort(self.part, kind="stable")
+            self.part = self.part[sorted_]
+            rank = np.empty(len(sorted_), np.int64)
+            rank[sorted_] = np.arange(len(sorted_))
+            self.terms, code = self.terms.take(pa.array(sorted_)), rank[code]
         n = len(first) if by_term else len(self.terms)
         key = code * n + own if by_term else own * n + code
         key.sort()
@@ -302,10 +311,10 @@ def _run_slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Placed:
-    """Postings of whole blocks in the order of term and id: terms (names of the groups), group of each posting, named, tf, pos from 0 and delta."""
+    """Postings of whole blocks in the order of term and id: terms (names of the groups), group of each posting, named, tf, pos from 0 and delta; of packed runs also dl and the id before."""
 
-    def __init__(self, terms: pa.Array, group: np.ndarray, named: np.ndarray, tf: np.ndarray, pos: np.ndarray, delta: np.ndarray) -> None:
-        self.terms, self.group, self.named, self.tf, self.pos, self.delta = terms, group, named, tf, pos, delta
+    def __init__(self, terms: pa.Array, group: np.ndarray, named: np.ndarray, tf: np.ndarray, pos: np.ndarray, delta: np.ndarray, dl: np.ndarray | None = None, before: np.ndarray | None = None) -> None:
+        self.terms, self.group, self.named, self.tf, self.pos, self.delta, self.dl, self.before = terms, group, named, tf, pos, delta, dl, before
 
 
 def _walk(batches: Iterator[pa.RecordBatch], per_block: int) -> Iterator[Placed]:
@@ -409,3 +418,334 @@ def blocks_of_runs(runs: DataFrame, codec_names: tuple[str, ...], per_block: int
             yield from _cut(pa.RecordBatch.from_arrays([p.terms.take(pa.array(p.group[at])), pa.array((p.pos[at] // per_block).astype(np.int32)), ids_of(p.named[ends - 1]), pa.array(ends - at), *map(pa.array, sizes)], names), 1 << 16)
 
     return _together(runs).mapInArrow(walk, ", ".join(f"{n} {'string' if n == 'term' else 'int' if n == 'block' else 'long'}" for n in names))
+
+
+# Runs packed by the partition that their terms belong to: a row for each chunk of documents and partition, so that rows don't
+# grow with the vocabulary, and what is shuffled is neither sorted by term nor turned from arrays into rows and back.
+
+PACKED = "part int, first long, data binary, info binary"
+
+
+@dataclass
+class Packed:
+    """Packed runs (part, first, data, info) and the number of their partitions."""
+
+    rows: DataFrame
+    n: int
+
+
+def packed_parts(n: int, buckets: int = 1) -> int:
+    """Partitions of packed runs for a wish of n: with more than the buckets a number for each bucket alike."""
+    return -(-n // buckets) * buckets if n >= buckets else n
+
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, np.uint32(0xEDB88320) ^ (_CRC >> 1), _CRC >> 1)
+#: Bytes of a term up to which its checksum is taken together with others', a byte of all at a time.
+_SHORT = 32
+
+
+def _crc32(terms: pa.Array) -> np.ndarray:
+    """zlib.crc32 of each term."""
+    sizes, chars = _chars(terms)
+    starts, crc = np.cumsum(sizes, dtype=np.int64) - sizes, np.full(len(sizes), 0xFFFFFFFF, np.uint32)
+    order = np.argsort(-sizes, kind="stable")
+    upto = np.searchsorted(-sizes[order], -np.arange(_SHORT), "left")  # how many have a byte at this place
+    for i, n in enumerate(upto.tolist()):
+        some = order[:n]
+        crc[some] = _CRC[(crc[some] ^ chars[starts[some] + i]) & 0xFF] ^ (crc[some] >> 8)
+    crc ^= np.uint32(0xFFFFFFFF)
+    for i in order[: np.searchsorted(-sizes[order], -_SHORT, "left")].tolist():
+        crc[i] = zlib.crc32(chars[starts[i] : starts[i] + sizes[i]])
+    return crc.astype(np.int64)
+
+
+def bucket_and_part(terms: pa.Array, n: int, buckets: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Of each term its bucket and its partition of ``packed_parts(n, buckets)``; none holds parts of two buckets if there are as many."""
+    crc = _crc32(terms)
+    own = crc % buckets
+    if n < buckets:
+        return own, own * n // buckets
+    each = -(-n // buckets)
+    return own, own * each + crc // buckets % each
+
+
+def _chars(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each term, and all of them."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1]
+    return np.diff(offsets), np.frombuffer(terms.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+#: Of terms: bytes of each, all bytes, postings of each; and ids, dls (or none) and tfs of the postings.
+Piece = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]
+
+
+def _packed(sizes: np.ndarray, chars: np.ndarray, lens: np.ndarray, named: np.ndarray, dl: np.ndarray | None, tf: np.ndarray) -> bytes:
+    some = [named, lens.astype(np.int32), sizes.astype(np.int32), *([] if dl is None else [dl]), tf, chars]
+    return b"".join([np.array([len(lens), len(named), dl is not None], np.int64).tobytes(), *[x.tobytes() for x in some]])
+
+
+def _unpacked(data: pa.Buffer) -> Piece:
+    n_terms, n, with_dl = np.frombuffer(data, np.int64, 3).tolist()
+    at = 24
+
+    def take(kind: type, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += out.nbytes
+        return out
+
+    named, lens, sizes = take(np.int64, n), take(np.int32, n_terms), take(np.int32, n_terms)
+    dl, tf = take(np.int32, n) if with_dl else None, take(np.int32, n)
+    return sizes, take(np.uint8, len(data) - at), lens, named, dl, tf
+
+
+def packed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 1, with_dl: bool = False, with_info: bool = False) -> Packed:
+    """(part, first, data, info): posting_runs packed, a row for each chunk of documents and partition of terms; ``with_info`` also a row of
+    partition -1 for each chunk, of which ``info_of`` reads what is known of the documents."""
+    n = parts(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, text in chunks(batches):
+            c = Counts(ids, text, by_term=True, place=lambda terms: bucket_and_part(terms, n, buckets)[1])
+            info = b"".join(x.tobytes() for x in (np.array([len(c.dl)], np.int64), c.named, c.dl, c.times, np.bincount(c.owner, minlength=len(c.dl)).astype(np.int32))) if with_info else None
+            yield from _cut(_pieces_of(c.terms, c.code, c.named[c.owner], c.dl[c.owner] if with_dl else None, c.tf, c.part, info), 256)
+
+    texts = _texts(docs, id_col, text_col)
+    return Packed(texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(count, PACKED), packed_parts(n, buckets))
+
+
+def _pieces_of(terms: pa.Array, code: np.ndarray, named: np.ndarray, dl: np.ndarray | None, tf: np.ndarray, part: np.ndarray, info: bytes | None) -> pa.RecordBatch:
+    """Rows of packed runs: postings by term and within it by id, terms by their partition."""
+    at, (sizes, chars) = np.searchsorted(code, np.arange(len(terms) + 1)), _chars(terms)
+    lens, byte = np.diff(at), np.append(0, np.cumsum(sizes))
+    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    out = [_packed(sizes[a:z], chars[byte[a] : byte[z]], lens[a:z], named[at[a] : at[z]], None if dl is None else dl[at[a] : at[z]], tf[at[a] : at[z]]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    numbers, also = part[cut[:-1]], [None] * len(out)
+    if info is not None:
+        numbers, out, also = np.append(numbers, -1), [*out, None], [*also, info]
+    first = np.full(len(out), named.min() if len(named) else NO_ID, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(first), pa.array(out, pa.binary()), pa.array(also, pa.binary())], ["part", "first", "data", "info"])
+
+
+def packed_rows(rows: DataFrame, buckets: int = 1) -> Packed:
+    """Packed runs of postings (term, doc_id, dl, tf), CHUNK_POSTINGS at a time and what the last document has beyond."""
+    n = parts(rows)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            coded = table["term"].combine_chunks().dictionary_encode()
+            terms = coded.dictionary.cast(pa.string())
+            part = bucket_and_part(terms, n, buckets)[1]
+            order = np.argsort(part, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code = rank[coded.indices.to_numpy()]
+            by_term = np.argsort(code, kind="stable")
+            named, dl, tf = (table[c].to_numpy()[by_term] for c in ("doc_id", "dl", "tf"))
+            return _pieces_of(terms.take(pa.array(order)), code[by_term], named, dl, tf, part[order], None)
+
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK_POSTINGS):
+                part = b.slice(at, CHUNK_POSTINGS)
+                if sum(x.num_rows for x in held) >= CHUNK_POSTINGS:
+                    new = int(np.searchsorted(part["doc_id"].to_numpy(), held[-1]["doc_id"][-1].as_py(), "right"))
+                    held.append(part.slice(0, new))
+                    if new < part.num_rows:
+                        yield from _cut(whole(), 256)
+                        held = [part.slice(new)]
+                else:
+                    held.append(part)
+        if held:
+            yield from _cut(whole(), 256)
+
+    own = rows.select("term", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), F.coalesce(F.col("dl").cast("int"), F.lit(0)).alias("dl"), F.col("tf").cast("int").alias("tf"))
+    return Packed(own.where("term is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, PACKED), packed_parts(n, buckets))
+
+
+def info_of(packed: Packed) -> DataFrame:
+    """(doc_id, dl, n_terms) of packed runs with information: a row for each document, repeated ones too; n_terms is its postings, at the first row of several alike, 0 at the others."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for value in b.column(0):
+                data = value.as_buffer()
+                n = int(np.frombuffer(data, np.int64, 1)[0])
+                named, (dl, times, terms) = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int32, 3 * n, 8 + 8 * n).reshape(3, n)
+                row = np.repeat(np.arange(n), times)
+                first = np.append(True, row[1:] != row[:-1])[: len(row)]
+                yield from _cut(pa.RecordBatch.from_arrays([ids_of(named[row]), pa.array(dl[row]), pa.array(np.where(first, terms[row], 0).astype(np.int32))], ["doc_id", "dl", "n_terms"]), CHUNK_POSTINGS)
+
+    return packed.rows.where("part = -1").select("info").mapInArrow(read, "doc_id long, dl int, n_terms int")
+
+
+def _by_part(packed: Packed) -> DataFrame:
+    """Packed runs in their partitions, in the order of the documents."""
+    return packed.rows.where("part >= 0").select("part", "first", "data").repartitionById(packed.n, "part").sortWithinPartitions("first").select("data")
+
+
+def _merged(pieces: list[Piece]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """The different terms; group, id, dl and tf of all postings, by term and within it in the order of the pieces."""
+    sizes, chars, lens, named, dl, tf = (None if x[0] is None else np.concatenate(x) for x in zip(*pieces, strict=True))
+    at = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    small = at[-1] < 2**31
+    names = (pa.StringArray if small else pa.LargeStringArray).from_buffers(len(sizes), pa.py_buffer(at.astype(np.int32) if small else at), pa.py_buffer(chars))
+    coded = names.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    own = lens[order].astype(np.int64)
+    starts = np.cumsum(lens, dtype=np.int64) - lens
+    take = np.repeat(starts[order] - (np.cumsum(own) - own), own) + np.arange(len(named))
+    return coded.dictionary.cast(pa.string()), np.repeat(code[order].astype(np.int64), own), named[take], None if dl is None else dl[take], tf[take]
+
+
+class State:
+    """Numbers held for each term of a task, whatever batches it comes in."""
+
+    def __init__(self, n: int) -> None:
+        self.known = pa.array([], pa.string())
+        self.held = np.zeros((n, 1024), np.int64)
+
+    def codes(self, terms: pa.Array) -> np.ndarray:
+        """Of different terms."""
+        at, n = pc.index_in(terms, self.known), len(self.known)
+        out = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if at.null_count:
+            new = out < 0
+            out[new] = n + np.arange(at.null_count)
+            self.known = pa.concat_arrays([self.known, terms.filter(pa.array(new))])
+        if len(self.known) > self.held.shape[1]:
+            self.held = np.concatenate([self.held, np.zeros((len(self.held), 2 * len(self.known) - self.held.shape[1]), np.int64)], axis=1)
+        return out
+
+
+def _walk_packed(batches: Iterator[pa.RecordBatch], per_block: int = 0) -> Iterator[tuple[Placed, bool]]:
+    """Packed runs in the order of the documents as postings with their places, about CHUNK_POSTINGS at a time, and whether they are the last.
+
+    A term comes again with later documents: its count and last id are kept. With ``per_block`` a block is never divided: what a term has after its last whole
+    block, and that block, are held, and merged with what comes once that is as much; so a task holds up to its vocabulary's open blocks."""
+    state = State(2)
+
+    def place(pieces: list[Piece], last: bool) -> tuple[Placed, list[Piece]]:
+        terms, group, named, dl, tf = _merged(pieces)
+        code = state.codes(terms)
+        base, ends = state.held
+        first = np.searchsorted(group, np.arange(len(terms) + 1))
+        n = np.diff(first)
+        done = n if last or not per_block else (n - 1) // per_block * per_block
+        within = np.arange(len(group)) - first[group]
+        before = np.append(0, named[:-1])
+        before[first[:-1]] = ends[code]
+        before[before == NO_ID] = 0
+        delta = np.where(named == NO_ID, NO_ID, named - before)
+        pos = within + base[code][group]
+        some = done > 0
+        base[code] += done
+        ends[code[some]] = named[(first[:-1] + done - 1)[some]]
+        if done is n:
+            return Placed(terms, group, named, tf, pos, delta, dl, before), []
+        emit = within < done[group]
+        rest = (*_chars(terms), n - done, named[~emit], None if dl is None else dl[~emit], tf[~emit])
+        return Placed(terms, group[emit], named[emit], tf[emit], pos[emit], delta[emit], None if dl is None else dl[emit], before[emit]), [rest]
+
+    held: list[Piece] = []
+    new: list[Piece] = []
+    n_held = n_new = 0
+    for b in batches:
+        for value in b.column(0):
+            new.append(_unpacked(value.as_buffer()))
+            n_new += len(new[-1][3])
+            if n_new >= max(CHUNK_POSTINGS, n_held):
+                out, held = place([*held, *new], False)
+                n_held, n_new, new = sum(len(x[3]) for x in held), 0, []
+                if len(out.group):
+                    yield out, False
+    if held or new:
+        yield place([*held, *new], True)[0], True
+
+
+def _delta_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for p, _ in _walk_packed(batches):
+        yield pa.RecordBatch.from_arrays([p.terms.take(pa.array(p.group)), ids_of(p.named), pa.array(p.tf), pa.array((p.pos + 1).astype(np.int32)), ids_of(p.delta)], ["term", "doc_id", "tf", "pos", "delta"])
+
+
+def _undelta_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, doc_id, tf, pos) of (term, tf, pos, delta): a term's rows are in the order of pos, in one batch or several; an error for ids that don't rise or exceed 2**63 - 1."""
+    state = State(1)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        coded = pc.run_end_encode(b["term"])
+        code, ends = state.codes(coded.values), np.asarray(coded.run_ends, np.int64)
+        first = np.append(0, ends[:-1])
+        pos, delta = b["pos"].to_numpy(zero_copy_only=False), b["delta"]
+        fine = delta.is_valid().to_numpy(zero_copy_only=False)
+        delta = delta.fill_null(0).to_numpy()
+        if not (fine & ((delta > 0) | ((pos == 1) & (delta == 0)))).all():
+            raise ValueError("document ids don't rise")
+        total = np.cumsum(delta)  # modulo 2**64, as the differences are
+        lens = ends - first
+        # runs of one term follow another only between batches
+        ids = total + np.repeat(state.held[0][code] - (total[first] - delta[first]), lens)
+        if (ids < 0).any():
+            raise ValueError("a document id is too large")
+        state.held[0][code] = ids[ends - 1]
+        yield pa.RecordBatch.from_arrays([b["term"], pa.array(ids), b["tf"], b["pos"]], ["term", "doc_id", "tf", "pos"])
+
+
+def undeltas_of(rows: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, pos) of (term, tf, pos, delta), a term's in one partition and in the order of pos."""
+    return rows.select("term", "tf", "pos", "delta").mapInArrow(_undelta_batches, "term string, doc_id long, tf int, pos int")
+
+
+def packed_deltas(packed: Packed) -> DataFrame:
+    """deltas_of packed runs."""
+    return _by_part(packed).mapInArrow(_delta_batches, "term string, doc_id long, tf int, pos int, delta long")
+
+
+def packed_roundtrip(packed: Packed) -> DataFrame:
+    """(term, doc_id, tf, pos): distances of packed runs, summed up again where they are made; the sum is given nothing of the ids."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _undelta_batches(b.select(["term", "tf", "pos", "delta"]) for b in _delta_batches(batches))
+
+    return _by_part(packed).mapInArrow(both, "term string, doc_id long, tf int, pos int")
+
+
+def packed_lists(packed: Packed, per_block: int) -> DataFrame:
+    """lists_of packed runs."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, _ in _walk_packed(batches, per_block):
+            at = _block_starts(p, per_block)
+            ends = np.append(at, len(p.group)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([ids_of(p.named), pa.array(p.tf)], ["doc_id", "tf"])
+            yield from _cut(pa.RecordBatch.from_arrays([p.terms.take(pa.array(p.group[at])), pa.array((p.pos[at] // per_block).astype(np.int32)), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pairs)], ["term", "block", "n", "postings"]), 1 << 14)
+
+    return _by_part(packed).mapInArrow(walk, "term string, block int, n long, postings array<struct<doc_id: long, tf: int>>")
+
+
+BLOCKS = "term string, block int, last_doc_id long, n_postings long, doc_id_size long, freq_size long"
+
+
+def packed_blocks(packed: Packed, codec_name: str, per_block: int, buckets: int = 0) -> DataFrame:
+    """blocks_of_runs of packed runs; with ``buckets`` also the term's bucket, the last id of its block before (0 without one) and the block's ids, dls and tfs."""
+    names = [c.split()[0] for c in BLOCKS.split(", ")] + (["bucket", "before", "ids", "dls", "tfs"] if buckets else [])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, _ in _walk_packed(batches, per_block):
+            at = _block_starts(p, per_block)
+            ends = np.append(at[1:], len(p.group))
+            sizes = [np.add.reduceat(_encoded(v, codec_name), at) for v in (p.delta, p.tf)]
+            columns = [p.terms.take(pa.array(p.group[at])), pa.array((p.pos[at] // per_block).astype(np.int32)), ids_of(p.named[ends - 1]), pa.array(ends - at), *map(pa.array, sizes)]
+            if buckets:
+                offsets = pa.array(np.append(at, len(p.group)).astype(np.int32))
+                own = bucket_and_part(p.terms, buckets, buckets)[0].astype(np.int32)
+                columns += [pa.array(own[p.group[at]]), pa.array(p.before[at]), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (p.named, p.dl, p.tf)]]
+            yield from _cut(pa.RecordBatch.from_arrays(columns, names), 1 << 14)
+
+    return _by_part(packed).mapInArrow(walk, BLOCKS + (", bucket int, before long, ids array<long>, dls array<int>, tfs array<int>" if buckets else ""))

@@ -144,7 +144,7 @@ def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, ((pos - 1) // 128)::INT AS block, count(*) AS n, list(doc_id ORDER BY doc_id) AS doc_ids, list(tf ORDER BY doc_id) AS tfs FROM placed GROUP BY ALL")
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.posting_lists(ix.posting_runs(documents(spark, sf_dir))).select("term", "block", "n", F.col("postings.doc_id").alias("doc_ids"), F.col("postings.tf").alias("tfs"))
+    return ix.posting_lists(ix.packed_postings(documents(spark, sf_dir))).select("term", "block", "n", F.col("postings.doc_id").alias("doc_ids"), F.col("postings.tf").alias("tfs"))
 
 
 @registered(f"WITH {_POST} SELECT term, df FROM lex")
@@ -154,22 +154,22 @@ def lexicon_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, doc_id, tf, pos::INT AS pos, delta FROM placed")
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.posting_deltas(ix.posting_runs(documents(spark, sf_dir)))
+    return ix.posting_deltas(ix.packed_postings(documents(spark, sf_dir)))
 
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, doc_id, tf, pos::INT AS pos FROM placed")
 def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.undelta(ix.posting_deltas(ix.posting_runs(documents(spark, sf_dir))))
+    return ix.undelta(ix.posting_deltas(ix.packed_postings(documents(spark, sf_dir))))
 
 
 @registered(f"WITH {_POST}, {_PLACED}, {_BLOCKS} SELECT * FROM blk")
 def block_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.blocks(ix.posting_runs(documents(spark, sf_dir)))
+    return ix.blocks(ix.packed_postings(documents(spark, sf_dir)))
 
 
 @registered(f"WITH {_POST}, {_PLACED}, {_BLOCKS} SELECT *, coalesce(sum(doc_id_size + freq_size) OVER (ORDER BY term, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM blk")
 def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.block_offsets(ix.blocks(ix.posting_runs(documents(spark, sf_dir))))
+    return ix.block_offsets(ix.blocks(ix.packed_postings(documents(spark, sf_dir))))
 
 
 @registered(
@@ -177,7 +177,7 @@ def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, coalesce(sum(bytes_size) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_position, bytes_size FROM t"""
 )
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.lexicon(ix.blocks(ix.posting_runs(documents(spark, sf_dir))))
+    return ix.lexicon(ix.blocks(ix.packed_postings(documents(spark, sf_dir))))
 
 
 _SIZES = f"WITH {_POST}, {_PLACED}, {_BLOCKS}, s AS (SELECT sum(doc_id_size + freq_size)::BIGINT AS index_bytes, (count(*) * 20)::BIGINT AS blocks_bytes, count(*) AS n_blocks, sum(n_postings)::BIGINT AS n_postings, count(*) FILTER (block = 0) AS n_terms FROM blk)"
@@ -188,14 +188,14 @@ _SIZES = f"WITH {_POST}, {_PLACED}, {_BLOCKS}, s AS (SELECT sum(doc_id_size + fr
 SELECT codec, index_bytes, blocks_bytes, index_bytes + blocks_bytes AS posting_store_bytes, n_blocks, n_postings, n_terms FROM r"""
 )
 def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = ix.posting_runs(documents(spark, sf_dir))
+    runs = ix.packed_postings(documents(spark, sf_dir))
     both = [ix.sizes(ix.blocks(runs, c)).select(F.lit(c).alias("codec"), "*") for c in codec.CODECS]
     return both[0].union(both[1])
 
 
 @registered(f"{_SIZES} SELECT round((index_bytes + blocks_bytes) / (8 * n_postings + blocks_bytes), 6) AS ratio, format('{{:.2f}} MB', index_bytes / 1048576) AS index_size FROM s WHERE index_bytes BETWEEN 1048576 AND 1073741823 UNION ALL SELECT round((index_bytes + blocks_bytes) / (8 * n_postings + blocks_bytes), 6), format('{{:.2f}} KB', index_bytes / 1024) FROM s WHERE index_bytes < 1048576")
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ix.sizes(ix.blocks(ix.posting_runs(documents(spark, sf_dir))))
+    s = ix.sizes(ix.blocks(ix.packed_postings(documents(spark, sf_dir))))
     return s.select(F.round(F.col("posting_store_bytes") / (8 * F.col("n_postings") + F.col("blocks_bytes")), 6).alias("ratio"), human_bytes(F.col("index_bytes")).alias("index_size"))
 
 
@@ -252,18 +252,18 @@ def first_posting_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(_SEEK)
 def posting_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     """first_posting_from by the blocks of posting lists."""
-    return _sought(ix.seek, cut_lineage(ix.posting_lists(ix.posting_runs(documents(spark, sf_dir)))))
+    return _sought(ix.seek, cut_lineage(ix.posting_lists(ix.packed_postings(documents(spark, sf_dir)))))
 
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, pos::INT AS pos, {_vb('delta')}::INT AS delta_bytes, {_vb('tf')}::INT AS tf_bytes, delta AS decoded FROM placed")
 def varbyte_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.posting_deltas(ix.posting_runs(documents(spark, sf_dir)))
+    rows = ix.posting_deltas(ix.packed_postings(documents(spark, sf_dir)))
     return rows.select("term", "pos", codec.varbyte_length(F.col("delta")).alias("delta_bytes"), F.octet_length(codec.encode(F.col("tf"))).alias("tf_bytes"), codec.decode(codec.encode(F.col("delta"))).alias("decoded"))
 
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, pos::INT AS pos, delta AS decoded FROM placed")
 def raw32_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.posting_deltas(ix.posting_runs(documents(spark, sf_dir)))
+    rows = ix.posting_deltas(ix.packed_postings(documents(spark, sf_dir)))
     return rows.select("term", "pos", codec.decode(codec.encode(F.col("delta"), "raw32"), "raw32").alias("decoded"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -159,3 +160,39 @@ def test_judgements_take_no_row_for_each_token(spark):
 
     plan = plans.judgements(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan
+
+
+@pytest.mark.parametrize(("size", "most"), [(1, 1), (60, 7), (1 << 20, 1 << 18)])
+def test_packed_runs_give_the_same_as_rows(spark, docs, size, most, monkeypatch):
+    """Terms that come again with later chunks, blocks that a chunk's end would divide, a document without id."""
+    monkeypatch.setattr(ru, "CHUNK_BYTES", size)
+    monkeypatch.setattr(ru, "CHUNK_POSTINGS", most)
+    once = docs.dropDuplicates(["doc_id"]).persist()
+    rows, packed = ix.postings(once), ix.packed_postings(once)
+    for f in (ix.posting_deltas, ix.posting_lists, ix.blocks, lambda r: ix.posting_lists(r, 2), lambda r: ix.blocks(r, "raw32", 3)):
+        assert sorted(map(repr, f(rows).collect())) == sorted(map(repr, f(packed).collect()))
+    positive = ix.packed_postings(once.where("doc_id > 0"))
+    want = rows.where("doc_id > 0").select("term", "doc_id", "tf").collect()
+    found = ix.delta_roundtrip(positive).collect()
+    assert sorted((r.term, r.doc_id, r.tf) for r in found) == sorted(map(tuple, want))
+    assert sorted(map(tuple, ix.undelta(ix.posting_deltas(positive)).collect())) == sorted(map(tuple, found))
+
+
+def test_registered_lists_are_not_sorted_by_term(spark):
+    """What moves is a row for each chunk and partition."""
+    from ferrowick.plans import queries as plans
+
+    for name in ("posting_deltas", "posting_lists", "block_info", "varbyte_roundtrip"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [term" not in plan and "Window" not in plan and "hashpartitioning(term" not in plan, name
+        assert plan.count("Exchange") - plan.count("ReusedExchange") <= 2, name
+
+
+def test_packed_parts_hold_one_bucket_each():
+    terms = pa.array(["skipped", *[f"t{i}" for i in range(2000)], "", "x" * 31, "y" * 32, "z" * 33])[1:]
+    assert ru._crc32(terms).tolist() == [zlib.crc32(t.encode()) for t in terms.to_pylist()]
+    for n, buckets in ((1, 1), (7, 1), (5, 64), (64, 64), (130, 64)):
+        own, part = ru.bucket_and_part(terms, n, buckets)
+        assert part.max() < ru.packed_parts(n, buckets) and set(own.tolist()) <= set(range(buckets))
+        if n >= buckets:
+            assert len(set(zip(own.tolist(), part.tolist(), strict=True))) == len(set(part.tolist()))
