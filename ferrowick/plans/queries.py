@@ -159,7 +159,7 @@ def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, doc_id, tf, pos::INT AS pos FROM placed")
 def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.undelta(ix.posting_deltas(ix.packed_postings(documents(spark, sf_dir))))
+    return ix.delta_roundtrip(ix.packed_postings(documents(spark, sf_dir)))
 
 
 @registered(f"WITH {_POST}, {_PLACED}, {_BLOCKS} SELECT * FROM blk")
