@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -21,6 +21,8 @@ POSTINGS_PER_BLOCK = 128
 #: Terms of a batch up to which they are compared as a list within the scan, and up to which they are broadcast.
 FEW_TERMS, MOST_TERMS = 1_000, 1_000_000
 BLOCK_RECORD_BYTES = 20
+#: Files of each bucket's part of a lexicon.
+LEXICON_PARTS = 4
 #: A posting that is summed takes more memory than its share of the text.
 MERGED_PER_PART = 4
 
@@ -117,6 +119,9 @@ def block_offsets(block_rows: DataFrame) -> DataFrame:
 
 def lexicon(block_rows: DataFrame) -> DataFrame:
     """(term, term_id, df, start_position, bytes_size), numbered in the order of the terms' bytes."""
+    if {"start_offset", "term_id"} <= set(block_rows.columns):  # blocks that have been numbered and placed
+        of_term = block_rows.groupBy("term").agg(F.min("term_id").cast("long").alias("term_id"), F.sum("n_postings").alias("df"), F.min("start_offset").alias("start_position"), F.sum(F.col("doc_id_size") + F.col("freq_size")).alias("bytes_size"))
+        return of_term.select("term", "term_id", "df", "start_position", "bytes_size")
     terms = block_rows.groupBy("term").agg(F.sum("n_postings").alias("df"), F.sum(F.col("doc_id_size") + F.col("freq_size")).alias("bytes_size"))
     placed = running(terms, ["term"], sums={"start_position": F.col("bytes_size"), "term_id": F.lit(1)})
     return placed.select("term", F.col("term_id").cast("long"), "df", "start_position", "bytes_size")
@@ -180,7 +185,9 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 PARTS = ("postings", "lexicon", "blocks", "docinfo", "stats")
-FORMAT = 1
+#: 2: postings in blocks, a row for each; document information with the number of postings.
+FORMAT = 2
+_KEPT = ("term", "block", "last_doc_id", "n_postings", "doc_id_size", "freq_size")
 
 
 @dataclass
@@ -197,6 +204,10 @@ class Index:
     docinfo: DataFrame | None = None
     #: The postings by term and chunk of documents, if they come of texts.
     runs: DataFrame | None = None
+    #: The same packed for a number of buckets, with what is known of the documents.
+    pack: Callable[[int], ru.Packed] | None = None
+    #: Of a saved index: its blocks with their postings (bucket, term, before, ids, dls, tfs).
+    lists: DataFrame | None = None
 
     def save(self, path: str, buckets: int = 64, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> None:
         """Write the postings with their blocks and byte offsets, the lexicon with term ids and positions, document information and statistics.
@@ -205,31 +216,31 @@ class Index:
         folders and row groups. A term of any length is cut into ranges. The description is written last; what a failure leaves is removed."""
         spark = self.postings.sparkSession
         try:
-            info = self.docinfo if self.docinfo is not None or self.docs is None else doc_info(self.docs)
-            (self.postings.select("doc_id", "dl").distinct() if info is None else info).write.mode("overwrite").parquet(f"{path}/docinfo")
+            if self.pack is not None:  # the texts are tokenised once
+                packed = self.pack(buckets)
+                packed = ru.Packed(written(packed.rows), packed.n)
+                info = ru.info_of(packed)
+            else:
+                packed = ru.packed_rows(self.postings, buckets)
+                info = self.docinfo if self.docinfo is not None else doc_info(self.docs) if self.docs is not None else self.postings.select("doc_id", "dl").distinct()
+            info.write.mode("overwrite").parquet(f"{path}/docinfo")
             # counted from what is written, not from the texts again
-            (self.stats if info is None else corpus_stats(spark.read.parquet(f"{path}/docinfo"))).write.mode("overwrite").parquet(f"{path}/stats")
-            runs = written(self.runs) if self.runs is not None else None
-            self._laid(self.postings if runs is None else runs, buckets).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
-            block_rows = blocks(spark.read.parquet(f"{path}/postings") if runs is None else runs, codec_name, per_block)
-            block_offsets(block_rows).write.mode("overwrite").parquet(f"{path}/blocks")
-            terms = lexicon(spark.read.parquet(f"{path}/blocks")).crossJoin(spark.read.parquet(f"{path}/stats").select("n"))
-            terms = terms.withColumn("idf", bm25.idf(F.col("n"), F.col("df"))).drop("n")
-            self._laid(terms, buckets, "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lexicon")
+            (self.stats if self.docinfo is None and self.docs is None else corpus_stats(spark.read.parquet(f"{path}/docinfo"))).write.mode("overwrite").parquet(f"{path}/stats")
+            laid = ru.packed_blocks(packed, codec.checked_codec(codec_name), per_block, buckets).sortWithinPartitions("bucket", "term", "block")
+            laid.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
+            block_rows = spark.read.schema(laid.schema).parquet(f"{path}/postings").select(*_KEPT)
+            # a term's first block is numbered by the terms before
+            placed = running(block_rows, ["term", "block"], sums={"start_offset": F.col("doc_id_size") + F.col("freq_size"), "term_id": (F.col("block") == 0).cast("int")})
+            placed.write.mode("overwrite").parquet(f"{path}/blocks")
+            terms = lexicon(spark.read.parquet(f"{path}/blocks")).crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats").select("n")))  # one row
+            terms = terms.withColumn("idf", bm25.idf(F.col("n"), F.col("df"))).drop("n").withColumn("bucket", _bucket(F.col("term"), buckets))
+            terms.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(LEXICON_PARTS))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lexicon")
             about = {"format": FORMAT, "buckets": buckets, "codec": codec_name, "per_block": per_block}
             spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
         except Exception:
             delete(spark, path)
             raise
 
-    @staticmethod
-    def _laid(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
-        if "ids" in rows.columns:  # runs are moved, not their postings, which come out in order
-            placed = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange(ru.parts(rows), "bucket", "term", "first")
-            return ru.flattened(placed.sortWithinPartitions("bucket", "term", "first"), "bucket").sortWithinPartitions("bucket", "term", "doc_id")
-        order = order or ("term", "doc_id")
-        return rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
-
     @classmethod
     def load(cls, spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
         """A saved index; ValueError if it is incomplete or of another format."""
@@ -240,7 +251,8 @@ class Index:
         if about.get("format") != FORMAT:
             raise ValueError(f"format {about.get('format')} of {path} isn't {FORMAT}")
         parts = {p: spark.read.parquet(f"{path}/{p}") for p in PARTS}
-        return cls(parts["postings"], parts["lexicon"], parts["stats"], docs, about["buckets"], check_blocks(parts["blocks"]), parts["docinfo"])
+        lists = parts["postings"]
+        return cls(ru.flattened(lists), parts["lexicon"], parts["stats"], docs, about["buckets"], check_blocks(parts["blocks"].select(*_KEPT, "start_offset")), parts["docinfo"], lists=lists)
 
     def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
         """The rows of these terms, at most a batch's; of a saved index only their buckets are listed and read."""
@@ -252,7 +264,7 @@ class Index:
         return rows.join(F.broadcast(names), "term", "left_semi")
 
     def postings_of(self, terms: list[str]) -> DataFrame:
-        return self._of(self.postings, terms)
+        return self._of(self.postings, terms) if self.lists is None else ru.flattened(self._of(self.lists, terms))
 
     def weights(self, terms: list[str]) -> dict[str, float]:
         """The idf of those of the terms that the index has."""
@@ -277,7 +289,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
     info = doc_info(docs, id_col=id_col, text_col=text_col)
     stats = corpus_stats(info)
     runs = posting_runs(docs, id_col=id_col, text_col=text_col)
-    return Index(rows, term_weights(runs, stats), stats, docs, docinfo=info, runs=runs)
+    return Index(rows, term_weights(runs, stats), stats, docs, docinfo=info, runs=runs, pack=lambda buckets: ru.packed_runs(docs, id_col, text_col, buckets=buckets, with_dl=True, with_info=True))
 
 
 def _index_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> Index:
@@ -304,10 +316,16 @@ def build_stats(docs: DataFrame, codec_name: str = "varbyte") -> DataFrame:
 def saved_stats(index: Index, spill_threshold: int) -> DataFrame:
     """build_stats of a saved index, and what a build that spills at ``spill_threshold`` postings would hold at most: spill_count, peak_partial_postings, peak_unique_terms."""
     found = sizes(index.blocks).select(F.col("n_postings").alias("total_postings"), F.col("n_terms").alias("final_terms"), F.col("index_bytes").alias("final_index_bytes"))
-    placed = written(spill_of_documents(index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), spill_threshold))
-    counts = placed.groupBy("segment").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("spill_count"), F.coalesce(F.max("n"), F.lit(0)).alias("peak_partial_postings"))
-    terms = index.postings.join(placed.select("doc_id", "segment"), "doc_id").select("segment", "term").distinct().groupBy("segment").agg(F.count(F.lit(1)).alias("terms"))
-    peak = terms.agg(F.coalesce(F.max("terms"), F.lit(0)).alias("peak_unique_terms"))
+    if index.lists is not None and "n_terms" in index.docinfo.columns:
+        per_doc = index.docinfo.groupBy("doc_id").agg(F.sum("n_terms").alias("n")).where("n > 0")
+        lists = index.lists
+    else:
+        per_doc = index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        lists = index.lists if index.lists is not None else ru.packed_blocks(ru.packed_rows(index.postings), "varbyte", POSTINGS_PER_BLOCK, 1)
+    segments = written(spill_of_documents(per_doc, spill_threshold)).groupBy("segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("n").alias("n")).toArrow()  # a row for each spill
+    counts = index.postings.sparkSession.createDataFrame([(segments.num_rows, max(segments["n"].to_pylist(), default=0))], "spill_count long, peak_partial_postings long")
+    terms = ru.terms_of_ranges(lists, segments.sort_by("segment")["last"].fill_null(ru.NO_ID).to_numpy())
+    peak = terms.agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak_unique_terms"))
     return index.docinfo.agg(F.count(F.lit(1)).alias("docs_processed")).crossJoin(found).crossJoin(counts).crossJoin(peak)
 
 

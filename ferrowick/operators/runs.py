@@ -640,8 +640,7 @@ def _walk_packed(batches: Iterator[pa.RecordBatch], per_block: int = 0) -> Itera
         within = np.arange(len(group)) - first[group]
         before = np.append(0, named[:-1])
         before[first[:-1]] = ends[code]
-        before[before == NO_ID] = 0
-        delta = np.where(named == NO_ID, NO_ID, named - before)
+        delta = np.where(named == NO_ID, NO_ID, named - np.where(before == NO_ID, 0, before))
         pos = within + base[code][group]
         some = done > 0
         base[code] += done
@@ -749,3 +748,28 @@ def packed_blocks(packed: Packed, codec_name: str, per_block: int, buckets: int
             yield from _cut(pa.RecordBatch.from_arrays(columns, names), 1 << 14)
 
     return _by_part(packed).mapInArrow(walk, BLOCKS + (", bucket int, before long, ids array<long>, dls array<int>, tfs array<int>" if buckets else ""))
+
+
+def terms_of_ranges(lists: DataFrame, lasts: np.ndarray) -> DataFrame:
+    """(range, n): how many terms have postings in each range of documents, of blocks (block, before, ids); lasts: the last id of each range, rising.
+
+    A term is counted in a range at its first posting there, which the id before tells: nothing of it is moved."""
+    shared = lists.sparkSession.sparkContext.broadcast(lasts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value) + 1, np.int64)
+        for b in batches:
+            for part in _slices(iter([b])):
+                # null ids come first, in the first range; a first block has no id before
+                lens = pc.list_value_length(part["ids"]).to_numpy()
+                own = np.searchsorted(shared.value, _flat(part["ids"]).to_numpy())
+                before = np.append(-1, own[:-1])
+                starts = np.cumsum(lens) - lens
+                before[starts] = np.where(part["block"].to_numpy() == 0, -1, np.searchsorted(shared.value, part["before"].to_numpy()))
+                total += np.bincount(own[own != before], minlength=len(total))
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["range", "n"])
+
+    found = lists.select("block", "before", "ids").mapInArrow(count, "range int, n long")
+    return found.groupBy("range").agg(F.sum("n").alias("n"))

@@ -196,3 +196,35 @@ def test_packed_parts_hold_one_bucket_each():
         assert part.max() < ru.packed_parts(n, buckets) and set(own.tolist()) <= set(range(buckets))
         if n >= buckets:
             assert len(set(zip(own.tolist(), part.tolist(), strict=True))) == len(set(part.tolist()))
+
+
+def test_a_saved_index_of_awkward_rows(spark, docs, tmp_path, monkeypatch):
+    """Texts are tokenised once, postings lie in blocks, and a spill's terms are counted without moving postings."""
+    rows = table()
+    want = by_hand(rows)
+    monkeypatch.setattr(ru, "lengths", lambda *a: 1 / 0)
+    built = ix.Index(ix.postings(docs), None, None, docs, pack=lambda buckets: ru.packed_runs(docs, buckets=buckets, with_dl=True, with_info=True))
+    for n, index in enumerate((built, ix.Index(ix.postings(docs).persist(), None, ix.corpus_stats(ix.postings(docs).select("dl"))))):
+        path = f"{tmp_path}/{n}"
+        index.save(path, 3, per_block=2)
+        again = ix.Index.load(spark, path)
+        assert {(r.term, r.doc_id, r.dl): r.tf for r in again.postings.collect()} == want
+        assert {(r.term, r.doc_id, r.dl) for r in again.postings_of(["the", "x1"]).collect()} == {k for k in want if k[0] in ("the", "x1")}
+        blocks = again.blocks.orderBy("term", "block").collect()
+        assert [b.start_offset for b in blocks] == [sum(x.doc_id_size + x.freq_size for x in blocks[:i]) for i in range(len(blocks))]
+        terms = sorted({k[0] for k in want})
+        assert [(r.term, r.term_id, r.df) for r in again.lexicon.orderBy("term").collect()] == [(t, i, sum(k[0] == t for k in want)) for i, t in enumerate(terms)]
+        per = {}
+        for t, i, _ in want:
+            per.setdefault(i, []).append(t)
+        segments, total = [[]], 0
+        for i in sorted(per):
+            if total >= 20:
+                segments, total = [*segments, []], 0
+            segments[-1] += per[i]
+            total += len(per[i])
+        stats = ix.saved_stats(again, 20)
+        assert "hashpartitioning(term" not in stats._jdf.queryExecution().executedPlan().toString()
+        found = stats.first()
+        assert (found.spill_count, found.peak_partial_postings, found.peak_unique_terms) == (len(segments), max(map(len, segments)), max(len(set(s)) for s in segments))
+    assert sorted((r.doc_id, r.dl) for r in ix.Index.load(spark, f"{tmp_path}/0").docinfo.collect()) == sorted((i, len(words(t))) for i, t in rows)
