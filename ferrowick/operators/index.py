@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -103,6 +103,13 @@ def seek(lists: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
 
 
+def seek_in_all(packed: ru.Packed, targets: Sequence[int], per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
+    """seek of the same targets in the posting lists of all terms, in the tasks that make them: lists and targets are neither kept nor joined."""
+    if per_block <= 0:
+        raise ValueError("per_block must be above 0")
+    return ru.packed_seek(packed, targets, per_block)
+
+
 def blocks(rows: DataFrame | ru.Packed, codec_name: str = "varbyte", per_block: int = POSTINGS_PER_BLOCK) -> DataFrame:
     """(term, block, last_doc_id, n_postings, doc_id_size, freq_size) of postings or their runs: ``per_block`` postings of a term at a time and their encoded sizes."""
     if per_block <= 0:

@@ -7,7 +7,7 @@ whatever the number of partitions. A run is what a chunk holds of one term: a ro
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -728,6 +728,39 @@ def packed_lists(packed: Packed, per_block: int) -> DataFrame:
     return _by_part(packed).mapInArrow(walk, "term string, block int, n long, postings array<struct<doc_id: long, tf: int>>")
 
 
+def _first_from(named: np.ndarray, low: np.ndarray, high: np.ndarray, target: int) -> np.ndarray:
+    """Of each stretch from low to high, whose last id is not before the target, the place of its first id from the target on; all are halved at a time."""
+    while (low < high).any():
+        middle = (low + high) // 2
+        before = named[middle] < target
+        low, high = np.where(before, middle + 1, low), np.where(before, high, middle)
+    return low
+
+
+def _seek_batches(batches: Iterator[pa.RecordBatch], targets: Sequence[int], per_block: int) -> Iterator[pa.RecordBatch]:
+    for p, last in _walk_packed(batches, per_block):
+        at = _block_starts(p, per_block)
+        ends = np.append(at[1:], len(p.group)) - 1
+        for target in targets:
+            from_ = max(target, NO_ID + 1)  # a posting without id is at no target
+            opened = np.flatnonzero((p.named[ends] >= from_) & ((p.pos[at] == 0) | (p.before[at] < from_)))
+            hit = _first_from(p.named, at[opened], ends[opened], from_)
+            found = [(p.group[hit], pa.array(p.named[hit]), pa.array(p.tf[hit]))]
+            if last:  # each term's last block was held until now, so no term is missing here
+                over = ends[(p.named[ends] < from_) & np.append(p.group[1:] != p.group[:-1], True)[ends]]
+                found.append((p.group[over], pa.nulls(len(over), pa.int64()), pa.nulls(len(over), pa.int32())))
+            for group, ids, tf in found:
+                yield from _cut(pa.RecordBatch.from_arrays([p.terms.take(pa.array(group)), pa.array(np.full(len(group), target, np.int64)), ids, tf], ["term", "target", "doc_id", "tf"]), 1 << 16)
+
+
+def packed_seek(packed: Packed, targets: Sequence[int], per_block: int) -> DataFrame:
+    """(term, target, doc_id, tf): of each term and target the first posting from the target on, null if there is none, sought in the task that makes the blocks.
+
+    A term's block is opened for a target only if it ends at or after it and the block before doesn't; the lists themselves go nowhere."""
+    wanted = sorted(set(targets))
+    return _by_part(packed).mapInArrow(lambda batches: _seek_batches(batches, wanted, per_block), "term string, target long, doc_id long, tf int")
+
+
 BLOCKS = "term string, block int, last_doc_id long, n_postings long, doc_id_size long, freq_size long"
 
 

@@ -239,20 +239,20 @@ f AS (SELECT t.term, t.target, min(doc_id) AS doc_id FROM t JOIN post ON post.te
 SELECT t.term, t.target, coalesce(f.doc_id, -1) AS doc_id, coalesce(post.tf, -1)::INT AS tf FROM t LEFT JOIN f USING (term, target) LEFT JOIN post ON post.term = f.term AND post.doc_id = f.doc_id"""
 
 
-def _sought(seek, rows: DataFrame) -> DataFrame:
-    found = seek(rows, rows.select("term").distinct().withColumn("target", F.explode(F.array(*[F.lit(t).cast("long") for t in _TARGETS]))))
+def _sought(found: DataFrame) -> DataFrame:
     return found.select("term", "target", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("tf", F.lit(-1)).alias("tf"))
 
 
 @registered(_SEEK)
 def first_posting_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sought(ix.first_at_least, ix.postings(documents(spark, sf_dir)))
+    rows = ix.postings(documents(spark, sf_dir))
+    return _sought(ix.first_at_least(rows, rows.select("term").distinct().withColumn("target", F.explode(F.array(*[F.lit(t).cast("long") for t in _TARGETS])))))
 
 
 @registered(_SEEK)
 def posting_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     """first_posting_from by the blocks of posting lists."""
-    return _sought(ix.seek, cut_lineage(ix.posting_lists(ix.packed_postings(documents(spark, sf_dir)))))
+    return _sought(ix.seek_in_all(ix.packed_postings(documents(spark, sf_dir)), _TARGETS))
 
 
 @registered(f"WITH {_POST}, {_PLACED} SELECT term, pos::INT AS pos, {_vb('delta')}::INT AS delta_bytes, {_vb('tf')}::INT AS tf_bytes, delta AS decoded FROM placed")

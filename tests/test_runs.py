@@ -178,6 +178,44 @@ def test_packed_runs_give_the_same_as_rows(spark, docs, size, most, monkeypatch)
     assert sorted(map(tuple, ix.undelta(ix.posting_deltas(positive)).collect())) == sorted(map(tuple, found))
 
 
+@pytest.mark.parametrize("per_block", [1, 3, 128])
+@pytest.mark.parametrize(("size", "most"), [(1, 1), (60, 7), (1 << 20, 1 << 18)])
+def test_targets_are_sought_where_the_lists_are_made(spark, docs, per_block, size, most, monkeypatch):
+    """Each target once for each term, whatever chunks its list comes in: before, between, at and after its ids, negative ones and none."""
+    monkeypatch.setattr(ru, "CHUNK_BYTES", size)
+    monkeypatch.setattr(ru, "CHUNK_POSTINGS", most)
+    rng = random.Random(per_block)
+    rows = [(i, t) for i, t in {**dict(table(90)), -7: "only negative", 333: "only late once"}.items()] + [(None, "nothing the")]
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    targets = (10**9, 0, -(2**63), 2**63 - 1, -7, -6, 333, 334, *rng.sample(range(-3, 300), 12), 0)
+    want = {}
+    for w in {w for _, t in rows for w in words(t)}:
+        held = sorted((i, words(t).count(w)) for i, t in rows if i is not None and w in words(t))
+        want |= {(w, x): next((h for h in held if h[0] >= x), (None, None)) for x in targets}
+    packed = ix.packed_postings(some)
+    pieces = packed.rows.where("part >= 0").orderBy("part", "first").toArrow()
+    found = [ix.seek_in_all(packed, targets, per_block).toArrow().to_pylist(), []]
+    for part in range(packed.n):  # in this process too, where the sizes set above hold
+        own = pieces.filter(pa.compute.equal(pieces["part"], part)).select(["data"]).to_batches(max_chunksize=2)
+        found[1] += [r for b in ru._seek_batches(iter(own), sorted(set(targets)), per_block) for r in b.to_pylist()]
+    if size == 60:  # lists that were made before, with a table of targets
+        asked = spark.createDataFrame(sorted(want), "term string, target long")
+        found.append(ix.seek(ix.posting_lists(packed, per_block), asked).toArrow().to_pylist())
+    for out in found:
+        assert len(out) == len(want) and {(r["term"], r["target"]): (r["doc_id"], r["tf"]) for r in out} == want
+    with pytest.raises(ValueError):
+        ix.seek_in_all(packed, targets, 0)
+
+
+def test_seeking_keeps_and_joins_no_lists(spark):
+    """Texts are read once, moved once and moved once more as packed runs; nothing is written for a second reading."""
+    from ferrowick.plans import queries as plans
+
+    plan = plans.QUERIES["posting_seek"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Existing" not in plan and plan.count("FileScan") == 1
+    assert plan.count("Exchange") <= 2
+
+
 def test_registered_lists_are_not_sorted_by_term(spark):
     """What moves is a row for each chunk and partition; a round trip moves nothing between its ways."""
     from ferrowick.plans import queries as plans
