@@ -94,6 +94,16 @@ def first_at_least(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, ["term", "target"], "left").select("term", "target", "doc_id", "tf")
 
 
+def first_in_all(rows: DataFrame, targets: Sequence[int]) -> DataFrame:
+    """first_at_least of the same targets in all terms: postings are counted once and aggregated where they are, and joined with nothing."""
+    wanted = {f"at_{i}_": target for i, target in enumerate(sorted(set(targets)))}
+    if not wanted:
+        return rows.limit(0).select("term", F.lit(0).cast("long").alias("target"), "doc_id", "tf")
+    reached = {name: F.when(F.col("doc_id") >= target, F.col("doc_id")) for name, target in wanted.items()}
+    found = rows.groupBy("term").agg(*[f.alias(name + part) for name, c in reached.items() for part, f in (("doc_id", F.min(c)), ("tf", F.min_by("tf", c)))])
+    return found.select("term", F.inline(F.array(*[F.struct(F.lit(target).cast("long").alias("target"), F.col(f"{name}doc_id").alias("doc_id"), F.col(f"{name}tf").alias("tf")) for name, target in wanted.items()])))
+
+
 def seek(lists: DataFrame, targets: DataFrame) -> DataFrame:
     """first_at_least over posting_lists: of each term only the block is opened whose last document is the first not before the target."""
     last = F.element_at("postings", -1)["doc_id"]

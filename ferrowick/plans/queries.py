@@ -245,8 +245,7 @@ def _sought(found: DataFrame) -> DataFrame:
 
 @registered(_SEEK)
 def first_posting_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.postings(documents(spark, sf_dir))
-    return _sought(ix.first_at_least(rows, rows.select("term").distinct().withColumn("target", F.explode(F.array(*[F.lit(t).cast("long") for t in _TARGETS])))))
+    return _sought(ix.first_in_all(ix.postings(documents(spark, sf_dir)), _TARGETS))
 
 
 @registered(_SEEK)

@@ -201,6 +201,8 @@ def test_targets_are_sought_where_the_lists_are_made(spark, docs, per_block, siz
     if size == 60:  # lists that were made before, with a table of targets
         asked = spark.createDataFrame(sorted(want), "term string, target long")
         found.append(ix.seek(ix.posting_lists(packed, per_block), asked).toArrow().to_pylist())
+        found.append(ix.first_in_all(ix.postings(some), targets).toArrow().to_pylist())
+        assert ix.first_in_all(ix.postings(some), ()).count() == ix.seek_in_all(packed, ()).count() == 0
     for out in found:
         assert len(out) == len(want) and {(r["term"], r["target"]): (r["doc_id"], r["tf"]) for r in out} == want
     with pytest.raises(ValueError):
@@ -214,6 +216,8 @@ def test_seeking_keeps_and_joins_no_lists(spark):
     plan = plans.QUERIES["posting_seek"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "Existing" not in plan and plan.count("FileScan") == 1
     assert plan.count("Exchange") <= 2
+    plan = plans.QUERIES["first_posting_from"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1 and "SortAggregate" not in plan
 
 
 def test_registered_lists_are_not_sorted_by_term(spark):
